@@ -10,11 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: Bytes of one batch that goes to a Python worker, where the session has Spark's default of 64 MB: long texts then can't fill a worker.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_KEY).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once a Spark context; the driver serves the file itself."""
     context = spark.sparkContext
+    bound_batches(spark)
     if getattr(context, "_jobledger_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="jobledger")) / f"{ROOT.name}.zip"
