@@ -32,8 +32,8 @@ from jobledger.llm.textkit import _INV, _POW, column_bytes, mix
 
 LENGTH, GRAM = 200, 64
 #: Positions that are anchored at once; their numbers fill the low bits of the least hash.
-_PLACES = 19
-#: Different surroundings of one anchor content that one task resolves.
+_PLACES = 18
+#: Occurrences of one anchor content that one task resolves.
 HOT = 20_000
 
 
@@ -128,19 +128,23 @@ def _counted(found: dict, kept: dict, buf: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_long(found["h"]), _long(found["full"])], names=["h", "full"])
 
 
-def _surroundings(table: bytes, length: int):
-    seen: set[tuple[int, int]] = set()
+def _surroundings(table: bytes, other: bytes | None, length: int):
+    """Anchors that `table` lets pass and `other` does not, with their bytes where the task has not sent them before."""
+    seen: set[int] = set()
 
     def make(found: dict, kept: dict, buf: np.ndarray) -> pa.RecordBatch:
-        pick = np.flatnonzero(passes(table, found["h"]))
+        good = passes(table, found["h"])
+        if other is not None:
+            good &= ~passes(other, found["h"])
+        pick = np.flatnonzero(good)
         h, full, a = found["h"][pick], found["full"][pick], found["byte"][pick]
         z = a + found["more"][pick] + length
         bytes_: list[bytes | None] = []
-        for key, x, y in zip(zip(h.tolist(), full.tolist(), strict=True), a.tolist(), z.tolist(), strict=True):
+        for key, x, y in zip(mix(h ^ full).tolist(), a.tolist(), z.tolist(), strict=True):
             if key in seen:
                 bytes_.append(None)
             else:
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 bytes_.append(buf[x:y].tobytes())
@@ -222,11 +226,11 @@ def recurring(run: np.ndarray, times: np.ndarray, at: np.ndarray, more: np.ndarr
     shared = np.where(run[i] == run[j], suffixes.common(i, j), 0)
     # verification: the bytes of neighbours' common prefixes
     steps = np.arange(length)
-    for a in range(0, n - 1, 1 << 14):
-        x, y, m = place[i[a : a + (1 << 14)]], place[j[a : a + (1 << 14)]], shared[a : a + (1 << 14)]
+    for a in range(0, n - 1, 1 << 12):
+        x, y, m = place[i[a : a + (1 << 12)]], place[j[a : a + (1 << 12)]], shared[a : a + (1 << 12)]
         top = len(buf) - 1
         differ = (buf[np.minimum(x[:, None] + steps, top)] != buf[np.minimum(y[:, None] + steps, top)]) & (steps < m[:, None])
-        shared[a : a + (1 << 14)] = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+        shared[a : a + (1 << 12)] = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
     at, more, times, place = at[order], more[order], times[order], place[order]
     shared = np.r_[0, shared]
     found = np.zeros((n, int(more.max()) + 1 if n else 0), bool)
@@ -245,8 +249,8 @@ def recurring(run: np.ndarray, times: np.ndarray, at: np.ndarray, more: np.ndarr
     # verification: the deepest left parts against their leaders' bytes
     reach = np.arange(int(at.max()) if n else 0)
     hit = np.flatnonzero(deepest > 0)
-    for a in range(0, len(hit), 1 << 14):
-        k = hit[a : a + (1 << 14)]
+    for a in range(0, len(hit), 1 << 12):
+        k = hit[a : a + (1 << 12)]
         m = reach < deepest[k][:, None]
         x, y = np.maximum(place[k][:, None] - 1 - reach, 0), np.maximum(place[leader[k]][:, None] - 1 - reach, 0)
         if ((buf[x] != buf[y]) & m).any():
@@ -270,12 +274,23 @@ def _ranges(found: np.ndarray) -> list[list[int]]:
 def _resolved(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_units(parts, least=4000):
-            buf, offs = column_bytes(t["bytes"])
-            times = t["times"].to_numpy()
-            found = recurring(t["unit"].to_numpy(), times, t["at"].to_numpy(), t["more"].to_numpy(), offs, buf, length)
+            unit, full = t["unit"].to_numpy(), t["full"].to_numpy()
+            # rows with bytes sort first among those of one stretch; the others are counted
+            first = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (full[1:] != full[:-1])])
+            times = np.diff(np.r_[first, len(unit)])
+            unit, full = unit[first], full[first]
+            n_of = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            several = np.repeat(np.diff(np.r_[n_of, len(unit)]), np.diff(np.r_[n_of, len(unit)])) > 1
+            keep = several | (times > 1)
+            if not keep.any():
+                continue
+            one = t.take(pa.array(first[keep]))
+            unit, full, times = unit[keep], full[keep], times[keep]
+            buf, offs = column_bytes(one["bytes"])
+            found = recurring(unit, times, one["at"].to_numpy(), one["more"].to_numpy(), offs, buf, length)
             some = found.any(axis=1)
             rows = [None if n > 1 else r for n, r in zip(times[some].tolist(), _ranges(found[some]), strict=True)]
-            yield pa.RecordBatch.from_arrays([t["unit"].combine_chunks().filter(pa.array(some)), t["full"].combine_chunks().filter(pa.array(some)), pa.array(rows, pa.list_(pa.int32()))], names=["h", "full", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[some]), pa.array(full[some]), pa.array(rows, pa.list_(pa.int32()))], names=["h", "full", "ranges"])
 
     return run
 
@@ -300,20 +315,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = few.schema[0].dataType.simpleString()
     spark = docs.sparkSession
     counted = few.mapInArrow(_each("__text", keep, length, gram, _counted), "h long, full long")
-    often = checkpoint(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"), F.max("full").alias("top")).where("n > 1").select("h", "full", (F.col("full") != F.col("top")).alias("mixed")))
-    twice, mixed = sieve(often, "h"), sieve(often.where("mixed"), "h")
+    often = checkpoint(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"), F.max("full").alias("top")).where("n > 1").select("h", "n", "full", (F.col("full") != F.col("top")).alias("mixed")))
+    mixed, many = often.where("mixed"), often.where("mixed").where(F.col("n") > HOT)
+    twice, several = sieve(often, "h"), sieve(mixed, "h")
+    crowded = None if many.isEmpty() else sieve(many, "h")
     shape = "h long, full long, at int, more int, bytes binary"
-    met = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(mixed, length)), shape)
-    classes = met.groupBy("h", "full").agg(F.count(F.lit(1)).alias("times"), F.first("at").alias("at"), F.first("more").alias("more"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    classes = checkpoint(classes)
-    many = checkpoint(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"))
-    usual = classes.join(many, "h", "left_anti") if not many.isEmpty() else classes
-    dealt = usual.withColumnRenamed("h", "unit").repartition(partitions(spark), "unit").sortWithinPartitions("unit", "full")
+    usual = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(several, crowded, length)), shape)
+    dealt = usual.withColumnRenamed("h", "unit").repartition(partitions(spark), "unit").sortWithinPartitions(F.col("unit"), F.col("full"), F.col("bytes").isNull())
     result = dealt.mapInArrow(_resolved(length), "h long, full long, ranges array<int>")
     whole = often.where("not mixed").select("h", "full", F.lit(None).cast("array<int>").alias("ranges"))
     result = result.unionByName(whole)
-    if not many.isEmpty():
-        result = result.unionByName(_by_window(classes.join(many, "h", "left_semi"), length))
+    if crowded is not None:
+        met = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(crowded, None, length)), shape)
+        classes = met.groupBy("h", "full").agg(F.count(F.lit(1)).alias("times"), F.first("at").alias("at"), F.first("more").alias("more"), F.first("bytes", ignorenulls=True).alias("bytes"))
+        result = result.unionByName(_by_window(checkpoint(classes), length))
     result = checkpoint(result)
     placed = few.mapInArrow(_each("__text", keep, length, gram, _placed(twice)), f"h long, full long, `{id_col}` {kind}, __th long, start long, more int")
     joined = placed.join(result, ["h", "full"])
@@ -338,9 +353,23 @@ def with_kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty; texts shorter than `length` lose nothing.  Every
     row gives a row; equal texts of that length lose all their bytes.
     """
-    d = docs.select(id_col, F.col(text_col).alias("__text"), F.xxhash64(F.col(text_col)).alias("__h")).alias("d")
-    s = repeated_spans(docs, id_col, text_col, length).alias("s")
-    joined = d.join(s, F.col(f"d.{id_col}").eqNullSafe(F.col(f"s.{id_col}")) & (F.col("d.__h") == F.col("s.__th")), "left").select(f"d.{id_col}", "__text", "__spans")
+    d = docs.select(id_col, F.xxhash64(F.col(text_col)).alias("__h"), F.col(text_col).alias("__text"))
+    s = checkpoint(repeated_spans(docs, id_col, text_col, length))
+    # texts without a span need not move: a sieve of the others' hashes tells most of them
+    found = sieve(s, "__th")
+
+    def split(wanted: bool):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                yield part.filter(pa.array(passes(found, part.column(1).to_numpy().view(np.uint64)) == wanted))
+
+        return run
+
+    moved = d.mapInArrow(split(True), d.schema).alias("d")
+    s = s.alias("s")
+    joined = moved.join(s, F.col(f"d.{id_col}").eqNullSafe(F.col(f"s.{id_col}")) & (F.col("d.__h") == F.col("s.__th")), "left").select(f"d.{id_col}", "__text", "__spans")
+    stayed = d.mapInArrow(split(False), d.schema).select(id_col, "__text", F.lit(None).cast(s.schema["__spans"].dataType).alias("__spans"))
+    joined = joined.unionByName(stayed)
     kind = joined.schema[0].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

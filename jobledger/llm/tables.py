@@ -7,16 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobledger.runtime import bound_batches
+
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/jobledger"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; a local one only where the session names none."""
+    bound_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
@@ -57,28 +61,38 @@ def in_units(members: DataFrame, key: str, order: list[str], most: int, unit: st
     return dealt.repartition(partitions(spark), unit).sortWithinPartitions(unit, key, *order)
 
 
-#: Words of a sieve: 2**19 longs are 4 MB, whatever the data.
-SIEVE_WORDS = 1 << 19
+#: A sieve has 2**SIEVE_BITS bits (4 MB), whatever the data.
+SIEVE_BITS = 25
+_AWAY = 64 - SIEVE_BITS
+
 
+def sieve(keys: DataFrame, *columns: str) -> bytes:
+    """A bitmap of fixed size (a Bloom filter with two probes) of the keys' hashes; a single long column must be well mixed itself.
 
-def sieve(keys: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size of the keys' hashes: of a key that is there the bit is set; some others pass too.  A fuller one lets more pass and loses none."""
+    It lets every key pass that is there, and some others; a fuller one lets more
+    pass and never loses any.
+    """
     import numpy as np
 
-    bits = keys.select(F.shiftrightunsigned(F.col(column), 64 - 25).alias("b"))
+    key = F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
+    probes = F.array(F.shiftrightunsigned(key, _AWAY), F.shiftrightunsigned(F.shiftleft(key, SIEVE_BITS), _AWAY))
+    bits = keys.select(F.explode(probes).alias("b"))
     rows = bits.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    got = rows.toPandas()  # SIEVE_WORDS rows at most
-    out = np.zeros(SIEVE_WORDS, np.int64)
+    got = rows.toPandas()  # 2**SIEVE_BITS / 64 rows at most
+    out = np.zeros((1 << SIEVE_BITS) // 64, np.int64)
     out[got["w"].to_numpy()] = got["v"].to_numpy()
     return out.tobytes()
 
 
 def passes(table: bytes, keys) -> object:
-    """Which unsigned keys the sieve lets pass."""
+    """Which unsigned 64-bit keys the sieve lets pass."""
     import numpy as np
 
-    b = keys >> np.uint64(64 - 25)
-    return (np.frombuffer(table, np.uint64)[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+    words, away = np.frombuffer(table, np.uint64), np.uint64(_AWAY)
+    out = np.ones(len(keys), bool)
+    for b in (keys >> away, (keys << np.uint64(SIEVE_BITS)) >> away):
+        out &= (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
