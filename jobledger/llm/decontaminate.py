@@ -203,29 +203,40 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list
         yield sorted((r.i, r.t) for r in rows.collect())
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length: int = 10, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with __n_words, __spans (hit ranges in words, merged), __items (names of items with occurring windows, sorted)."""
+def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length: int = 10, item_col: str = "item_id", item_text: str = "text", finish=None) -> DataFrame:
+    """docs with __n_words, __spans (hit ranges in words, merged), __items (names of items with occurring windows, sorted).
+
+    `finish` makes something else of a batch, its merged spans and its words in
+    the last pass; the result then has the columns of docs.
+    """
     spark, columns = docs.sparkSession, docs.columns
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.expr("cast(array() as array<struct<a: long, z: long>>)"), "__items": F.expr("cast(array() as array<string>)")})
     shape = out.schema
-    for rows in blocks_of(benchmark, item_col, item_text):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    blocks = blocks_of(benchmark, item_col, item_text)
+    following = next(blocks)
+    while following is not None:
+        sent = spark.sparkContext.broadcast(following)
+        following = next(blocks, None)
+        last = finish if following is None else None
+
+        def run(parts: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, length)
             for whole in parts:
                 for part in batches(whole, text_col):
                     at = part.schema.get_field_index
-                    spans, items, n, _ = matcher.scan(part.column(at(text_col)))
+                    spans, items, n, found = matcher.scan(part.column(at(text_col)))
                     old_spans, old_items = part.column(at("__spans")).to_pylist(), part.column(at("__items")).to_pylist()
                     spans = [merged([(x["a"], x["z"]) for x in o] + s) if o else s for o, s in zip(old_spans, spans, strict=True)]
+                    if last:
+                        yield last(part, spans, n, found)
+                        continue
                     names = [sorted({*o, *(matcher.names[i] for i in s)}) if s else o for o, s in zip(old_items, items, strict=True)]
                     kept = [part.column(at(c)) for c in columns]
                     kind = part.schema.field(at("__spans")).type
                     new = [pa.array(n, pa.int64()), pa.array([[{"a": a, "z": z} for a, z in s] for s in spans], kind), pa.array(names, part.schema.field(at("__items")).type)]
                     yield pa.RecordBatch.from_arrays([*kept, *new], names=[*columns, "__n_words", "__spans", "__items"])
 
-        out = out.mapInArrow(run, shape)
+        out = out.mapInArrow(run, docs.schema if last else shape)
     return out
 
 
@@ -255,32 +266,26 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     text as it was; a document of which more than `max_coverage` of the words is
     hit goes wholly.  Documents without a hit, null and empty texts stay as they are.
     """
-    found = find_spans(docs, benchmark, text_col, length)
     columns = docs.columns
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
-            for part in batches(whole, text_col):
-                at = part.schema.get_field_index
-                spans = part.column(at("__spans")).to_pylist()
-                texts = part.column(at(text_col))
-                if any(spans):
-                    buf, offs = column_bytes(texts)
-                    s, e, _, first = words(buf, offs)
-                    new = texts.to_pylist()
-                    for k, own in enumerate(spans):
-                        if own:
-                            bits, now = [], int(offs[k])
-                            for x in own:
-                                a, z = int(s[first[k] + x["a"]]), int(e[first[k] + x["z"] - 1])
-                                bits.append(bytes(buf[now:a]))
-                                now = z
-                            bits.append(bytes(buf[now : offs[k + 1]]))
-                            new[k] = b"".join(bits).decode("utf-8", "replace")
-                    texts = pa.array(new, texts.type)
-                yield pa.RecordBatch.from_arrays([texts if c == text_col else part.column(at(c)) for c in columns], names=columns)
-
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, x: acc + x["z"] - x["a"])
-    kept = found.where(hit <= F.col("__n_words") * F.lit(max_coverage))
-    return kept.mapInArrow(run, docs.schema)
-
+    def finish(part: pa.RecordBatch, spans: list, n: np.ndarray, found: tuple) -> pa.RecordBatch:
+        at = part.schema.get_field_index
+        texts = part.column(at(text_col))
+        keep = [sum(z - a for a, z in own) <= max_coverage * k for own, k in zip(spans, n.tolist(), strict=True)]
+        if any(spans):
+            buf, offs = column_bytes(texts)
+            s, e, first = found
+            new = texts.to_pylist()
+            for k, own in enumerate(spans):
+                if own and keep[k]:
+                    bits, now = [], int(offs[k])
+                    for a, z in own:
+                        bits.append(bytes(buf[now : int(s[first[k] + a])]))
+                        now = int(e[first[k] + z - 1])
+                    bits.append(bytes(buf[now : offs[k + 1]]))
+                    new[k] = b"".join(bits).decode("utf-8", "replace")
+            texts = pa.array(new, texts.type)
+        out = pa.RecordBatch.from_arrays([texts if c == text_col else part.column(at(c)) for c in columns], names=columns)
+        return out.filter(pa.array(keep))
+
+    return find_spans(docs, benchmark, text_col, length, finish=finish)

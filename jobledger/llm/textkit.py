@@ -131,7 +131,7 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = ALNUM, stems:
     return s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, offs)
 
 
-def batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each; one text at least."""
     _, offs = column_bytes(batch.column(batch.schema.get_field_index(column)))
     at = 0
