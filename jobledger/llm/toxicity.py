@@ -109,13 +109,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
             for part in batches(whole, "__text"):
                 buf, offs = column_bytes(part.column(1))
                 owner, at = gram_features(buf, offs, bits)
-                rows = [np.unique(at[owner == k]).astype("<i4").tobytes() for k in range(part.num_rows)]
+                order = np.argsort(owner, kind="stable")
+                cut = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
+                at = at[order]
+                rows = [np.append(np.unique(at[cut[k] : cut[k + 1]]), 1 << bits).astype("<i4").tobytes() for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["id", "y", "at"])
 
     kind = few.schema[0].dataType.simpleString()
-    got = few.mapInArrow(run, f"id {kind}, y int, at binary").dropDuplicates(["id"]).toPandas()
-    got = got.sort_values("id", key=lambda c: c.map(lambda i: hash_order(i, s.seed)))
-    rows = [(np.r_[np.frombuffer(a, "<i4"), np.int32(1 << bits)], int(y)) for a, y in zip(got["at"], got["y"], strict=True)]
+    got = few.mapInArrow(run, f"id {kind}, y int, at binary").dropDuplicates(["id"]).toArrow()
+    ids, y = got["id"].to_pylist(), got["y"].to_pylist()
+    at_of = [c.as_buffer() for c in got["at"]]  # views, no copies
+    rows = [(np.frombuffer(at_of[k], "<i4"), y[k]) for k in sorted(range(len(ids)), key=lambda k: hash_order(ids[k], s.seed))]
     learner = FTRL(s)
     for epoch in range(s.epochs):
         for k in np.random.default_rng(s.seed + epoch).permutation(len(rows)):
