@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words of up to this many characters are cached, up to so many of them a worker.
-CACHED_CHARS, CACHED_WORDS = 48, 400_000
+#: Words of up to this many characters are cached in two generations of up to so many words each, so that frequent ones stay.
+CACHED_CHARS, CACHED_WORDS = 48, 700_000
 
 
 class PrefixCounter:
@@ -47,6 +47,7 @@ class PrefixCounter:
         self.breaks_line = not any("\n" in p for p in self.score)
         self.cache: dict[str, int] = {}  # words behind one space
         self.parts: dict[str, int] = {}  # parts with their space marks
+        self.older: dict[str, int] = {}  # the words before the last CACHED_WORDS new ones
         self._pairs: dict[tuple[str, str], bool] = {}
 
     def _merge(self, text: str) -> list[str]:
@@ -86,7 +87,7 @@ class PrefixCounter:
                         count.append(count[a] + 1)
                         last.append(t)
                         break
-            else:  # a character outside the vocabulary: one token for each of its bytes
+            else:
                 count.append(count[-1] + len(word[k - 1].encode("utf-8", "surrogatepass")))
                 last.append("")
         return count
@@ -150,6 +151,24 @@ class PrefixCounter:
                 self.parts[part] = n
         return n
 
+    def learn(self, texts: list[str]) -> None:
+        """Counts the texts' new words beforehand, so that one call of the library checks them all."""
+        cache = self.cache
+        if len(cache) >= CACHED_WORDS:
+            self.older, self.cache = cache, {}
+            cache = self.cache
+        words = []
+        for w in {w for t in texts for w in set(t.split(" ")) if w not in cache}:
+            n = self.older.get(w)
+            if n is not None:
+                cache[w] = n
+            elif 0 < len(w) <= CACHED_CHARS and "\n" not in w and MARK not in w:
+                words.append(w)
+        dp = self.dp
+        for word, known in zip(words, self.library.encode(words), strict=True):
+            n = dp(MARK + word)[-1]
+            cache[word] = n if n == len(known) else len(known)
+
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last of its prefix counts."""
         if not text:
@@ -167,8 +186,6 @@ class PrefixCounter:
                 else:
                     n = self._checked(MARK + word)[-1]
                     if len(word) <= CACHED_CHARS:
-                        if len(self.cache) >= CACHED_WORDS:
-                            self.cache.clear()
                         self.cache[word] = n
             total += n
         return total
@@ -187,9 +204,12 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model_file).count
+        by = counter(model_file)
         for part in parts:
-            n = pa.array([count(x.as_py()) if x.is_valid else 0 for x in part.column(1)], pa.int64())
+            texts = part.column(1).to_pylist()
+            for at in range(0, len(texts), 256):
+                by.learn([t for t in texts[at : at + 256] if t])
+            n = pa.array([by.count(t) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n], names=[id_col, "n_bytes", "n_tokens"])
 
     few = docs.select(id_col, F.col(text_col).alias("__text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
