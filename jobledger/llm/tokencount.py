@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,8 +220,6 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
 def truncate_to_budget(docs: DataFrame, model_file: str, budget: int, text_col: str = "text") -> DataFrame:
     """Every text cut to its longest prefix of at most `budget` tokens; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         by = counter(model_file)
