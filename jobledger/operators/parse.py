@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Currency signs, dashes that mean zero, letters read for digits.
@@ -26,8 +27,6 @@ def clean(raw: Column) -> Column:
 
 def nfkc(df: DataFrame, column: str) -> DataFrame:
     """Compatibility-normalises a column; only rows with a character outside ASCII reach Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
@@ -116,8 +115,6 @@ def norm_header(x: Column) -> Column:
 
 def match_headers(headers: DataFrame, column: str, synonyms: DataFrame) -> DataFrame:
     """headers with `variable` where the normalised header is a synonym, and no other header of the table claims it as well; the dictionary is small and fixed."""
-    from pyspark.sql import Window
-
     named = headers.withColumn("__h", norm_header(F.col(column))).join(F.broadcast(synonyms.select(norm_header(F.col("header")).alias("__h"), "variable")), "__h", "left").drop("__h")
     claims = F.count("variable").over(Window.partitionBy("table_id", "variable"))
     return named.withColumn("variable", F.when(claims == 1, F.col("variable")))
