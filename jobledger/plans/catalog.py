@@ -76,7 +76,7 @@ _on_jobs("kpi_strip", lambda j: periods.strip(_revised(j)))
 _on_jobs("estimate_anomalies", lambda j: periods.estimate_anomalies(_revised(j)))
 _on_jobs("robust_anomaly", lambda j: periods.robust_anomalies(j.select(*KEYS, "job_id", scalars.ratio("B", "V").alias("x")), KEYS, "x", least_mad=0.002).select(*KEYS, "job_id", "z"))
 _on_jobs("early_underbilling_evidence", periods.early_underbilling)
-_on_jobs("identify_mapping", lambda j: identify.identify(j.select(*KEYS, *[F.col(c).alias(f"c{k}") for k, c in enumerate(t.MONEY)]), [f"c{k}" for k in range(7)], KEYS))
+_on_jobs("identify_mapping", lambda j: identify.identify(portfolio.billing(j).select(*KEYS, *[F.col(c).alias(f"c{k}") for k, c in enumerate((*t.MONEY, "U", "O"))]), [f"c{k}" for k in range(9)], KEYS))
 _on_jobs("match_groups", lambda j: periods.match_groups(_observations(j)))
 _on_jobs("certificate", lambda j: reports.certificate(certify.witnesses(_wide(j)), KEYS))
 
