@@ -128,3 +128,84 @@ def sniff(name: Column, head: Column) -> Column:
         F.when(starts("25504446"), "pdf").when(starts("89504E47"), "png").when(starts("FFD8FF"), "jpeg").when(starts("47494638"), "gif")
         .when(starts("52494646") & (F.substring(F.hex(head), 17, 8) == "57454250"), "webp").when(starts("504B0304"), "xlsx").when(ending.isin("csv", "tsv", "txt"), "csv").otherwise("unknown")
     )
+
+
+def cell_text(value: Column, percent: Column) -> Column:
+    """A number as a cell prints it: percent with up to two decimals, whole numbers without, others with two."""
+    share = F.concat(F.regexp_replace(F.format_string("%.2f", value * 100), r"\.?0+$", ""), F.lit("%"))
+    whole = F.format_string("%d", F.rint(value).cast("long"))
+    return F.when(value.isNull(), "").when(percent, share).when(value == F.rint(value), whole).otherwise(F.format_string("%.2f", value))
+
+
+def image_strips(df: DataFrame, height: str, size: int = 1600, overlap: int = 240, least: int = 300) -> DataFrame:
+    """Top and bottom of each strip of a tall image: strips overlap, and a tail shorter than `least` joins the strip before."""
+    step = size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.col(height) - overlap) / step)).cast("int")
+    tail = F.col(height) - (n - 1) * step
+    n = F.when((n > 1) & (tail < least + overlap), n - 1).otherwise(n)
+    tops = F.transform(F.sequence(F.lit(0), n - 1), lambda k: k * step)
+    strips = F.transform(tops, lambda a, k: F.struct(k.alias("strip"), a.alias("top"), F.when(k == n - 1, F.col(height)).otherwise(F.least(a + size, F.col(height))).alias("bottom")))
+    return df.select(*df.columns, F.explode(strips).alias("s")).select(*df.columns, "s.*")
+
+
+def tolerant_json(text: Column) -> Column:
+    """The outermost object of a text, with fences and trailing commas removed, if it parses; else null."""
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    body = F.regexp_replace(body, r",\s*([}\]])", "$1")
+    return F.to_json(F.try_parse_json(body))
+
+
+def identity_columns(df: DataFrame, keys: list[str], position: str, column: str) -> DataFrame:
+    """Columns of which 70 % or more of the cells look like job ids: digits and dashes or letters, no blanks."""
+    looks = F.col(column).rlike(r"^[A-Za-z]{0,4}[-# ]?\d[\d-]*$")
+    s = df.groupBy(*keys, position).agg(F.count_if(looks).alias("k"), F.count(column).alias("n"))
+    return s.where("n > 0 and k * 10 >= n * 7").groupBy(*keys).agg(F.min(position).alias("id_column"))
+
+
+def offset_alignment(headers: DataFrame, words: DataFrame) -> DataFrame:
+    """Offset (-1, 0 or 1) at which a table's headers name its columns' variables best: a shift needs four matches and three more than none."""
+    named = headers.join(F.broadcast(words.select(norm_header(F.col("header")).alias("__h"), F.col("variable").alias("__v"))), norm_header(F.col("header")) == F.col("__h"), "left")
+    w = Window.partitionBy("table_id").orderBy("pos")
+    marked = named.withColumns({"before": F.lag("__v").over(w), "after": F.lead("__v").over(w)})
+    s = marked.groupBy("table_id").agg(*[F.count_if(F.coalesce(F.col(c) == F.col("variable"), F.lit(False))).alias(n) for c, n in (("__v", "zero"), ("before", "left"), ("after", "right"))])
+    good = lambda c: (F.col(c) >= 4) & (F.col(c) >= F.col("zero") + 3)
+    return s.select("table_id", F.when(good("left") & (F.col("left") >= F.col("right")), -1).when(good("right"), 1).otherwise(0).alias("offset"))
+
+
+def fuzzy_headers(df: DataFrame, column: str, synonyms: dict[str, str], least: float = 0.90, gap: float = 0.08) -> DataFrame:
+    """df with the variable of the most similar synonym, if it is similar enough and clearly ahead of other variables' synonyms; short headers must match exactly."""
+    from difflib import SequenceMatcher
+
+    @F.pandas_udf("string")
+    def best(names: pd.Series) -> pd.Series:
+        def one(name: str | None) -> str | None:
+            name = " ".join((name or "").lower().split())
+            if name in synonyms or len(name) < 6:
+                return synonyms.get(name)
+            top: dict[str, float] = {}
+            for s, v in synonyms.items():
+                top[v] = max(top.get(v, 0.0), SequenceMatcher(None, name, s).ratio())
+            (a, v), *rest = sorted(((r, v) for v, r in top.items()), reverse=True)
+            return v if a >= least and (not rest or a - rest[0][0] >= gap) else None
+
+        return names.map(one)
+
+    return df.withColumn("variable", best(F.col(column)))
+
+
+def without_subtotals(df: DataFrame, keys: list[str], order: str, columns: list[str], rtol: float = 0.005) -> DataFrame:
+    """Rows that are no running subtotal: a row goes if it equals the sum since the last subtotal, or of all rows before, in three columns or more.  The reset makes it a fold over one schedule's rows."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        values = part[columns].to_numpy(float)
+        section, body, keep, count = values[0] * 0, values[0] * 0, [], 0
+        for row in values:
+            equal = lambda s: int(((abs(row - s) <= abs(s) * rtol + 1) & (s != 0)).sum())  # noqa: B023, E731
+            total = count >= 2 and max(equal(section), equal(body)) >= min(3, len(columns))
+            keep.append(not total)
+            section, count = (section * 0, 0) if total else (section + row, count + 1)
+            body = body if total else body + row
+        return part[keep]
+
+    return df.groupBy(*keys).applyInPandas(run, df.schema)

@@ -39,7 +39,9 @@ def _implied(row: dict[str, float], cell: str, without: set[str]) -> list[float]
 
 
 def repair(row: dict[str, float]) -> dict[str, float] | None:
-    """The one smallest set of changed cells with which every identity holds; None if there is none or more than one."""
+    """The one smallest set of changed cells with which every identity holds; None if there is none or more than one, or nothing to repair."""
+    if _holds(row):
+        return None
     for size in (1, 2):
         found: dict[tuple[str, ...], dict[str, float]] = {}
         for cells in combinations(row, size):

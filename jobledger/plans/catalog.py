@@ -61,7 +61,7 @@ _on_jobs("cc_triples", lambda j: identify.column_sums(t.cc_jobs(j), ["RP", "RC",
 _on_jobs("certify_failures", lambda j: certify.failures(_wide(t.with_errors(j))).select(*KEYS, "job_id", "rule"))
 _on_jobs("witness_summary", lambda j: certify.witnesses(_wide(t.with_errors(j))))
 _on_jobs("fixed_mapping_audit", lambda j: certify.audit_fixed_mapping(_wide(t.with_errors(j))))
-_on_jobs("culprits", lambda j: certify.culprits(_wide(t.with_errors(j))))
+_on_jobs("culprits", lambda j: certify.culprits(t.with_errors(_wide(j))).where("failed > 1"))
 _on_jobs("display_grid", lambda j: identify.display_grid(t.cells(j)))
 _on_jobs("value_axis_shortlist", lambda j: identify.value_shortlist(t.cells(j)))
 _on_jobs("estimate_orientation", lambda j: identify.estimate_orientation(t.cells(j)))
@@ -313,8 +313,10 @@ def assemble_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from jobledger.plans import more  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE.items() if k in _QUERIES}
+    return {k: v for k, v in ORACLE.items() if k in queries()}

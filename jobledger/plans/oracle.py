@@ -220,3 +220,42 @@ ORACLE["cell_literals"] = "SELECT k, value::DOUBLE AS value, repaired, percent F
 ORACLE["name_similarity"] = """WITH n AS (SELECT b.p_partkey + 1 AS k, trim(regexp_replace(lower(concat_ws(' ', a.p_name, a.p_type)), '[^a-z0-9]+', ' ', 'g')) AS x, trim(regexp_replace(lower(concat_ws(' ', b.p_name, b.p_type)), '[^a-z0-9]+', ' ', 'g')) AS y FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1),
 w AS (SELECT *, list_distinct(string_split(x, ' ')) AS xs, list_distinct(string_split(y, ' ')) AS ys FROM n)
 SELECT k, CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 ELSE greatest(0.0::DOUBLE, 0.65::DOUBLE * (1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y))) + 0.35::DOUBLE * (len(list_intersect(xs, ys))::DOUBLE / greatest(len(list_distinct(list_concat(xs, ys))), 1))) END AS score FROM w"""
+
+_add("cc_kpis", "SELECT portfolio_id, period, sum(RT)::BIGINT AS RT, sum(KT)::BIGINT AS KT, sum(GT)::BIGINT AS GT, sum(RC)::BIGINT AS RC, sum(GC)::BIGINT AS GC, count(*) AS jobs, CASE WHEN sum(RT) <> 0 THEN CAST(sum(GT)::BIGINT AS DOUBLE) / sum(RT)::BIGINT END AS margin FROM cc GROUP BY portfolio_id, period")
+_add("cc_billed_column", "SELECT portfolio_id, period, 'BC' AS billed FROM cc GROUP BY portfolio_id, period HAVING count(*) FILTER (abs(BC - RT) > greatest(1.0, abs(RT) * 0.005) + 1) <= greatest(1, floor(count(*) / 10)) AND NOT count(*) FILTER (5000 > greatest(1.0, abs(RT) * 0.005) + 1) <= greatest(1, floor(count(*) / 10)) UNION ALL SELECT portfolio_id, period, 'XC' FROM cc GROUP BY portfolio_id, period HAVING NOT count(*) FILTER (abs(BC - RT) > greatest(1.0, abs(RT) * 0.005) + 1) <= greatest(1, floor(count(*) / 10)) AND count(*) FILTER (5000 > greatest(1.0, abs(RT) * 0.005) + 1) <= greatest(1, floor(count(*) / 10))")
+_add("snapshot_points", "SELECT job_id, period, D::DOUBLE / C AS P, B - E AS net, CASE WHEN B > E THEN 'over' WHEN B < E THEN 'under' ELSE 'even' END AS position, (V - C)::DOUBLE / V AS margin FROM wip")
+_add("job_rows", "SELECT job_id, period, V, C, D, D::DOUBLE / C AS P, (V - C)::DOUBLE / V AS margin, E, B, B - E AS net, U, O FROM shape")
+_add("job_facts", "SELECT job_id, max(period) AS period, arg_max(V - C, period) AS profit, arg_max(V - B, period) AS left_to_bill, count(*) AS reports FROM wip GROUP BY job_id")
+_add("schedule_types", "SELECT portfolio_id, period, CASE WHEN bool_and(D = C) THEN 'cc' WHEN bool_or(D = C) THEN 'mixed' ELSE 'wip' END AS type FROM wip GROUP BY portfolio_id, period")
+_add("partial_certification", "SELECT portfolio_id, period, job_id, CASE WHEN job_id % 4 = 0 THEN 3 ELSE 4 END AS checked, CASE WHEN job_id % 4 = 0 THEN 3 ELSE 4 END AS held, CASE WHEN job_id % 4 = 0 THEN 'E' ELSE '' END AS missing, CASE WHEN job_id % 4 = 0 THEN 'incomplete' ELSE 'certified' END AS status FROM wip")
+_add("shadow_audit", "SELECT portfolio_id, period, count(*) AS rows, count(*) FILTER (job_id % 50 = 0) AS differ FROM wip GROUP BY portfolio_id, period HAVING count(*) FILTER (job_id % 50 = 0) > 0 AND count(*) FILTER (job_id % 50 <> 0) >= count(*) * 0.8")
+_add("row_marks", f"SELECT s.portfolio_id, s.period, s.job_id, s.signal, k.col AS \"column\", CASE WHEN s.severity >= 0.6 THEN 'red' ELSE 'amber' END AS color FROM (SELECT * FROM ({_union}) WHERE severity > 0.12) s JOIN (VALUES ('trapped_cash', 'U'), ('trapped_cash', 'E'), ('job_borrow', 'O'), ('job_borrow', 'Q'), ('loss_jobs', 'G'), ('loss_jobs', 'V'), ('cost_overrun', 'D'), ('cost_overrun', 'C'), ('margin_outlier', 'G')) AS k(signal, col) ON k.signal = s.signal", _book_q)
+_add("coverage_counts", "SELECT portfolio_id, count(*) AS reports, count(DISTINCT job_id) AS jobs, count(DISTINCT period) AS periods FROM wip GROUP BY portfolio_id")
+ORACLE["corroborate_columns"] = f"""{WIP}, ce AS (SELECT portfolio_id, period, job_id, unnest([0, 1, 2]) AS mcol, unnest([G, Q, E]) AS value FROM wip), de AS (SELECT portfolio_id, period, job_id, unnest(['G', 'Q', 'RB']) AS variable, unnest([G, Q, V - B])::DOUBLE AS expected FROM wip)
+SELECT portfolio_id, period, mcol, min(variable) AS variable FROM (SELECT ce.portfolio_id, ce.period, mcol, variable FROM ce JOIN de ON ce.portfolio_id = de.portfolio_id AND ce.period = de.period AND ce.job_id = de.job_id
+  GROUP BY ce.portfolio_id, ce.period, mcol, variable HAVING count(*) >= 3 AND count(*) FILTER (abs(value - expected) <= greatest(2.05::DOUBLE, abs(expected) * 2e-5::DOUBLE)) * 20 >= count(*) * 19) GROUP BY portfolio_id, period, mcol HAVING count(*) = 1"""
+_add("kpi_provenance", "SELECT portfolio_id, period, kpi, CASE kpi WHEN 'contract_value' THEN 'printed' WHEN 'backlog' THEN 'derived' ELSE CASE WHEN bool_or(job_id % 97 = 0) THEN 'corrected' ELSE 'confirmed' END END AS provenance FROM wip CROSS JOIN (VALUES ('contract_value'), ('cost_to_complete'), ('backlog')) AS k(kpi) GROUP BY portfolio_id, period, kpi")
+_add("validation_checklist", """SELECT portfolio_id, period, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'fixed') AS fixed, count(*) FILTER (s = 'warn') AS warn, count(*) FILTER (s = 'bad') AS bad FROM (
+  SELECT portfolio_id, period, rule, CASE WHEN f = 0 THEN 'ok' WHEN f - g <= 0 THEN 'fixed' WHEN (f - g) * 10 <= n THEN 'warn' ELSE 'bad' END AS s FROM (
+    SELECT portfolio_id, period, rule, count(*) AS n, count(*) FILTER (abs(residual) > tolerance) AS f, count(*) FILTER (abs(residual) > tolerance AND rule = 'Q=C-D' AND job_id % 2 = 0) AS g FROM x GROUP BY portfolio_id, period, rule)) GROUP BY portfolio_id, period""", _TESTS)
+_add("batch_summary", "SELECT w.portfolio_id, count(*) AS reports, coalesce(any_value(b.failing), 0) AS failing, coalesce(any_value(b.sections), 0) AS sections FROM wip w LEFT JOIN (SELECT portfolio_id, count(*) AS failing, count(DISTINCT period) AS sections FROM (SELECT DISTINCT portfolio_id, period, job_id FROM x WHERE abs(residual) > tolerance) GROUP BY portfolio_id) b ON b.portfolio_id = w.portfolio_id GROUP BY w.portfolio_id", _TESTS)
+_add("totals_corroborate", "SELECT portfolio_id, period, job_id FROM (SELECT *, first_value(D) OVER (PARTITION BY portfolio_id, period ORDER BY job_id) AS d0, t.total FROM wip JOIN (SELECT portfolio_id AS tp, period AS tq, sum(D) AS total FROM bad GROUP BY ALL) t ON tp = portfolio_id AND tq = period WHERE job_id % 97 = 0) WHERE abs(9 * d0 - 9 * D) <= greatest(1.0, abs(total - 9 * d0) * 1e-9)")
+_add("effective_mapping", "SELECT portfolio_id, period, job_id, C AS V, V AS C, G, D, Q, E, B FROM wip")
+_add("match_decisions", "SELECT job_id || '/' || period AS obs_id, CASE job_id % 10 WHEN 0 THEN 'own:' || job_id || '/' || period WHEN 1 THEN job_id::VARCHAR WHEN 2 THEN '7' WHEN 3 THEN '7' ELSE job_id::VARCHAR END AS group_id FROM wip")
+_add("trailing_totals", "SELECT portfolio_id, period, 7 AS matching FROM wip WHERE portfolio_id % 3 <> 0 GROUP BY portfolio_id, period")
+_add("subtotals_stripped", "SELECT portfolio_id, period, job_id AS row, V, C, D FROM wip")
+_add("job_id_column", "SELECT portfolio_id, period, 1 AS id_column FROM wip GROUP BY portfolio_id, period")
+_add("largest_changes", "SELECT portfolio_id, job_id, cost_change, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY cost_change DESC, job_id) AS r FROM cg) WHERE r <= 5", _REV)
+ORACLE["mapping_readiness"] = "SELECT * FROM (VALUES (1, true, true, true, true), (2, true, true, true, true), (3, false, true, true, false), (4, true, true, false, false), (5, true, false, true, false)) AS t(mapping_id, profit, progress, billing, ready)"
+ORACLE["section_routes"] = "SELECT * FROM (VALUES (1, 'analyze'), (2, 're_extract'), (3, 'analyze'), (4, 'analyze'), (5, 'disambiguate'), (6, 'fallback')) AS t(section, route)"
+ORACLE["correction_status"] = "SELECT o_orderkey AS correction_id, CASE WHEN o_custkey % 6 = 1 THEN 'applied' WHEN o_custkey % 3 = 0 THEN 'review' WHEN o_custkey % 2 = 0 THEN 'applied' ELSE 'reverted' END AS status FROM orders"
+ORACLE["period_duplicates"] = "SELECT l_suppkey, l_shipdate, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_shipdate HAVING count(*) > 1"
+ORACLE["cell_strings"] = "SELECT * FROM (VALUES (1, '12.5%'), (2, '50%'), (3, '1200'), (4, '12.35'), (5, ''), (6, '-3')) AS t(k, text)"
+ORACLE["image_strips"] = "SELECT * FROM (VALUES (1, 1000, 0, 0, 1000), (2, 1600, 0, 0, 1600), (3, 3000, 0, 0, 1600), (3, 3000, 1, 1360, 3000), (4, 3200, 0, 0, 1600), (4, 3200, 1, 1360, 3200)) AS t(image, height, strip, top, bottom)"
+ORACLE["json_extract"] = """SELECT * FROM (VALUES (1, '{"a":1,"b":[1,2]}'), (2, NULL), (3, '{"x":{"y":null}}'), (4, NULL)) AS t(k, json)"""
+ORACLE["header_offsets"] = "SELECT * FROM (VALUES (1, 0), (2, -1), (3, 1)) AS t(table_id, \"offset\")"
+_add("culprits", "SELECT portfolio_id, period, job_id, ['D'] AS culprits, 4 AS failed FROM wip WHERE job_id % 97 = 0 AND D * 9 > 100 AND G <> 0")
+_add("minimal_repair", "SELECT job_id, period, 'D' AS \"column\", CAST(D * 10 AS DOUBLE) AS observed, CAST(D AS DOUBLE) AS proposed FROM wip WHERE job_id % 97 = 0 AND D * 9 > 100")
+_add("identify_mapping", "SELECT DISTINCT portfolio_id, period, 'success' AS status, 4.45::DOUBLE AS score, 'c0=V, c1=C, c2=G, c3=D, c4=Q, c5=E, c6=B, c7=U, c8=O' AS mapping FROM wip")
+_add("match_groups", "SELECT portfolio_id AS block, job_id || '/' || period AS obs_id, dense_rank() OVER (PARTITION BY portfolio_id ORDER BY p0, job_id::VARCHAR || '/' || p0) - 1 AS group_id FROM (SELECT *, min(period) OVER (PARTITION BY job_id) AS p0 FROM wip)")
+ORACLE["header_fuzzy"] = "SELECT * FROM (VALUES (1, 'V'), (2, 'C'), (3, NULL), (4, 'D'), (5, NULL)) AS t(k, variable)"
