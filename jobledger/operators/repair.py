@@ -29,8 +29,8 @@ def _implied(row: dict[str, float], cell: str, without: set[str]) -> list[float]
         others = s.keys() - {cell}
         if cell in s and others <= row.keys() and not others & without:
             out.append(-sum(s[c] * row[c] for c in others) / s[cell])
-    four = {"E", "V", "D", "C"}
-    if cell in four and four <= row.keys() and not (four - {cell}) & without:
+    four = {"E", "V", "D", "C"}  # the product rounds, so it speaks only where no sum does
+    if not out and cell in four and four <= row.keys() and not (four - {cell}) & without:
         v, c, d, e = row["V"], row["C"], row["D"], row["E"]
         made = {"E": v * d / c if c else None, "D": e * c / v if v else None, "V": e * c / d if d else None, "C": v * d / e if e else None}[cell]
         if made is not None:
