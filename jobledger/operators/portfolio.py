@@ -56,13 +56,25 @@ def merge_duplicates(observations: DataFrame) -> DataFrame:
 def similar_completed(jobs: DataFrame, k: int = 3) -> DataFrame:
     """For each open job the k complete jobs of its portfolio and period nearest in size (V within 0.35 to 3 times).
 
-    Sizes are cut into bands of powers of three, so a job meets its own and the
-    two bands beside it instead of a whole portfolio.
+    Only the k sizes below and the k above can be nearest.  Complete jobs are
+    numbered by size within bands of powers of three (each also in the two bands
+    beside its own), an open job learns by a running count between which numbers it
+    lies, and an equi-join on 2k numbers fetches them: no pair of sizes is tried.
     """
     band = lambda v: F.floor(F.log(v.cast("double")) / F.log(F.lit(3.0)))
+    group = ["portfolio_id", "period", "band"]
     done = jobs.where("D = C and V > 0").select("portfolio_id", "period", F.col("job_id").alias("similar_id"), F.col("V").alias("SV"), F.explode(F.array(*[band(F.col("V")) + d for d in (-1, 0, 1)])).alias("band"))
     open_ = jobs.where("D < C and V > 0").select("portfolio_id", "period", "job_id", "V", band(F.col("V")).alias("band"))
-    near = open_.join(done, ["portfolio_id", "period", "band"]).where("SV * 100 >= V * 35 and SV <= V * 3")
+    # of equal sizes the smallest ids are nearest: so they are last among those below and first among those above
+    numbered = done.select(*group, "similar_id", "SV", F.explode(F.array(F.lit(0), F.lit(1))).alias("above"))
+    order = Window.partitionBy(*group, "above").orderBy("SV", F.when(F.col("above") == 1, F.col("similar_id")).otherwise(-F.col("similar_id")))
+    numbered = numbered.withColumn("place", F.row_number().over(order))
+    both = open_.withColumn("done", F.lit(0)).unionByName(done.select("portfolio_id", "period", F.lit(None).cast("long").alias("job_id"), F.col("SV").alias("V"), "band", F.lit(1).alias("done")))
+    running = Window.partitionBy(*group).orderBy("V", F.desc("done")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("below", F.sum("done").over(running)).where("done = 0")
+    wanted = F.explode(F.array(*[F.struct(F.lit(0).alias("above"), (F.col("below") - d).cast("int").alias("place")) for d in range(k)], *[F.struct(F.lit(1).alias("above"), (F.col("below") + 1 + d).cast("int").alias("place")) for d in range(k)]))
+    near = placed.select(*group, "job_id", "V", wanted.alias("w")).select(*group, "job_id", "V", "w.*").join(numbered, [*group, "above", "place"])
+    near = near.where("SV * 100 >= V * 35 and SV <= V * 3")
     distance = F.greatest("V", "SV").cast("double") / F.least("V", "SV")
     return top(near, ("portfolio_id", "period", "job_id"), [distance, "similar_id"], k).select("portfolio_id", "period", "job_id", "similar_id", "rank")
 
