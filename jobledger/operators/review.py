@@ -154,3 +154,32 @@ def trailing_totals(rows: DataFrame, columns: list[str]) -> DataFrame:
     equal = [F.coalesce(F.abs(F.col(f"s_{c}") - F.col(f"t_{c}")) <= F.greatest(F.lit(1.0), F.abs(f"t_{c}") * F.lit(0.005)), F.lit(False)).cast("int") for c in columns]
     n = sum(equal[1:], equal[0])
     return s.select(*KEYS, n.alias("matching")).where(F.col("matching") >= min(len(columns), max(4, (len(columns) + 1) // 2)))
+
+
+#: Variables that would tell two readings apart, the most telling first.
+TELLING = ("P", "E", "Q", "U", "O", "N", "PB", "H", "M", "R", "RB")
+
+
+def disambiguators(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, variable: the first of TELLING that neither reading has printed and whose values differ by more than 5 % in the median.
+
+    `readings` has keys, variable, a and b (the values of either reading) and printed; sections without such a variable give no row.
+    """
+    size = F.greatest(F.lit(1.0), F.abs("a"), F.abs("b"))
+    apart = readings.where(~F.col("printed")).groupBy(*keys, "variable").agg(F.median(F.abs(F.col("a") - F.col("b")) / size).alias("m")).where("m > 0.05")
+    place = F.array_position(F.array(*map(F.lit, TELLING)), F.col("variable"))
+    return apart.withColumn("place", place).where("place > 0").groupBy(*keys).agg(F.min_by("variable", "place").alias("variable"))
+
+
+def promoted(audits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, column, variable for audited columns that stand for one variable only; a column claimed by several is dropped."""
+    return audits.groupBy(*keys, "column").agg(F.count_distinct("variable").alias("n"), F.min("variable").alias("variable")).where("n = 1").drop("n")
+
+
+def edited_value(raw, percent):
+    """The number that an editor typed: "$1,200", "(45)" for -45, "12.5%"; percents become fractions, a lone sign 0, blanks and other text null."""
+    text = F.trim(raw)
+    bare = F.regexp_replace(text, r"[,$%()\s]", "")
+    number = F.when(bare == "", 0.0).when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+    number = F.when(text.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number)
+    return F.when(text != "", F.when(percent, number / 100).otherwise(number))

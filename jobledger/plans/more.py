@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.operators import certify, parse, periods, portfolio, review, signals
+from jobledger.operators import alignment, certify, parse, periods, portfolio, review, signals
 from jobledger.plans.catalog import KEYS, _observations, _on_jobs, _wide, query
 from jobledger.sources import tables as t
 
@@ -168,3 +168,50 @@ def largest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = periods.changes(_revised(t.wip_jobs(spark, sf_dir)))
     return portfolio.top(c, ("portfolio_id",), [F.desc("cost_change"), "job_id"], 5).select("portfolio_id", "job_id", "cost_change", "rank")
+
+
+ROLES = ["V", "C", "G", "D", "Q", "E", "B"]
+
+
+def _displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules in bands of rows; in each third portfolio one band lost its third cell and the others moved up."""
+    j = t.wip_jobs(spark, sf_dir)
+    whole = [F.col(c).cast("double") for c in ROLES]
+    hit = (F.col("portfolio_id") % 3 == 0) & (F.col("job_id") % 6 == 2)
+    cells = F.when(hit, F.array(*whole[:2], *whole[3:], F.lit(None).cast("double"))).otherwise(F.array(*whole))
+    return j.select(*KEYS, "job_id", (F.col("job_id") % 6).cast("int").alias("band"), cells.alias("cells"))
+
+
+@query
+def band_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.shifted_bands(_displaced(spark, sf_dir), ROLES, KEYS)
+
+
+@query
+def band_realignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _displaced(spark, sf_dir)
+    found = alignment.shifted_bands(rows, ROLES, KEYS)
+    back = alignment.realigned(rows, found, len(ROLES), KEYS)
+    return back.groupBy("portfolio_id").agg(F.count("cells").alias("rows"), *[F.count(F.get("cells", F.lit(k))).alias(f"n_{c}") for k, c in enumerate(ROLES)], F.sum(F.get("cells", F.lit(3)).cast("long")).alias("sum_D"), F.sum(F.get("cells", F.lit(6)).cast("long")).alias("sum_B"))
+
+
+@query
+def reading_disambiguators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs and billings to date exchanged: which column would tell the two readings apart."""
+    j = t.wip_jobs(spark, sf_dir)
+    V, C, D, B = (F.col(c).cast("double") for c in "VCDB")
+    made = [("P", D / C, B / C, True), ("Q", C - D, C - B, False), ("PB", B / V, D / V, False)]
+    readings = F.array(*[F.struct(F.lit(v).alias("variable"), a.alias("a"), b.alias("b"), F.lit(p).alias("printed")) for v, a, b, p in made])
+    return review.disambiguators(j.where("C > 0 and V > 0").select(*KEYS, F.explode(readings).alias("x")).select(*KEYS, "x.*"), KEYS)
+
+
+@query
+def audited_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, 4, "G"), (1, 4, "G"), (1, 5, "Q"), (1, 5, "R"), (2, 4, "R"), (2, 6, None)]
+    return review.promoted(spark.createDataFrame(rows, "section int, column int, variable string"), ["section"])
+
+
+@query
+def edited_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "($1,000)", False), (2, " 12.5% ", True), (3, "12.5%", False), (4, "", False), (5, "n/a", False), (6, "-3", False), (7, "(-3)", False), (8, None, True), (9, "$", False)]
+    return spark.createDataFrame(rows, "k int, raw string, p boolean").select("k", review.edited_value(F.col("raw"), F.col("p")).alias("value"))

@@ -259,3 +259,13 @@ _add("minimal_repair", "SELECT job_id, period, 'D' AS \"column\", CAST(D * 10 AS
 _add("identify_mapping", "SELECT DISTINCT portfolio_id, period, 'success' AS status, 4.45::DOUBLE AS score, 'c0=V, c1=C, c2=G, c3=D, c4=Q, c5=E, c6=B, c7=U, c8=O' AS mapping FROM wip")
 _add("match_groups", "SELECT portfolio_id AS block, job_id || '/' || period AS obs_id, dense_rank() OVER (PARTITION BY portfolio_id ORDER BY p0, job_id::VARCHAR || '/' || p0) - 1 AS group_id FROM (SELECT *, min(period) OVER (PARTITION BY job_id) AS p0 FROM wip)")
 ORACLE["header_fuzzy"] = "SELECT * FROM (VALUES (1, 'V'), (2, 'C'), (3, NULL), (4, 'D'), (5, NULL)) AS t(k, variable)"
+_add("band_shifts", "SELECT portfolio_id, period, CAST(job_id % 6 AS INT) AS band, 'shifted' AS status, 1 AS shift, 2 AS from_column, CAST(1 AS DOUBLE) AS pass_rate FROM wip WHERE portfolio_id % 3 = 0 AND job_id % 6 = 2 GROUP BY portfolio_id, period, job_id % 6 HAVING count(*) >= 3")
+ORACLE["band_realignment"] = f"""{WIP}, s AS (SELECT *, portfolio_id % 3 = 0 AND job_id % 6 = 2 AS hit, count(*) OVER (PARTITION BY portfolio_id, period, job_id % 6) >= 3 AS found FROM wip),
+r AS (SELECT portfolio_id, V, C, CASE WHEN NOT hit THEN G WHEN NOT found THEN D END AS G, CASE WHEN hit AND NOT found THEN Q ELSE D END AS D, CASE WHEN hit AND NOT found THEN E ELSE Q END AS Q,
+      CASE WHEN hit AND NOT found THEN B ELSE E END AS E, CASE WHEN hit AND NOT found THEN NULL ELSE B END AS B FROM s)
+SELECT portfolio_id, count(*) AS rows, count(V) AS "n_V", count(C) AS "n_C", count(G) AS "n_G", count(D) AS "n_D", count(Q) AS "n_Q", count(E) AS "n_E", count(B) AS "n_B", CAST(sum(D) AS BIGINT) AS "sum_D", CAST(sum(B) AS BIGINT) AS "sum_B" FROM r GROUP BY portfolio_id"""
+ORACLE["reading_disambiguators"] = f"""{WIP}, m AS (SELECT portfolio_id, period, median(abs((C - D) - (C - B))::DOUBLE / greatest(1, abs(C - D), abs(C - B))) AS q, median(abs(B::DOUBLE / V - D::DOUBLE / V) / greatest(1, abs(B::DOUBLE / V), abs(D::DOUBLE / V))) AS pb
+  FROM wip WHERE C > 0 AND V > 0 GROUP BY portfolio_id, period)
+SELECT portfolio_id, period, CASE WHEN q > 0.05 THEN 'Q' ELSE 'PB' END AS variable FROM m WHERE q > 0.05 OR pb > 0.05"""
+ORACLE["audited_columns"] = "SELECT * FROM (VALUES (1, 4, 'G'), (2, 4, 'R')) AS t(section, \"column\", variable)"
+ORACLE["edited_values"] = "SELECT k, value::DOUBLE AS value FROM (VALUES (1, -1000), (2, 0.125), (3, 12.5), (4, NULL), (5, NULL), (6, -3), (7, -3), (8, NULL), (9, 0)) AS t(k, value)"
