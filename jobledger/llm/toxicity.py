@@ -1,7 +1,7 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Learning takes a bounded, documented sample of labelled rows (`max_rows`, the
-smallest hashes of their ids); L1 sparsity leaves few non-zero weights, which are
+smallest hashes of their ids, as far as their whole texts fit in `max_bytes`); L1 sparsity leaves few non-zero weights, which are
 all that scoring is sent.  Scoring reads every whole text once and shuffles nothing.
 """
 
@@ -32,6 +32,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 6
     max_rows: int = 8192  #: labelled rows learned from
+    max_bytes: int = 64 << 20  #: and bytes of their texts together, which bounds what the driver holds
     seed: int = 42
 
 
@@ -93,15 +94,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most s.max_rows labelled documents outside the held-out fold.
+    """Learns from at most s.max_rows labelled documents outside the held-out fold, whose texts have s.max_bytes together at most.
 
+    A text that no longer fits is passed over whole; texts are never cut.
     Null ids or labels are left out; a document labelled twice counts as toxic if
     either says so.  Without rows, or with one class only, the bias alone answers.
     """
     order = F.xxhash64(F.col(id_col), F.lit(s.seed))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     sample = known.orderBy(order, id_col).limit(s.max_rows)
-    few = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)  # at most max_rows rows
+    texts = docs.select(id_col, F.col(text_col).alias("__text"))
+    sizes = texts.select(id_col, F.coalesce(F.octet_length("__text"), F.lit(0)).alias("n")).join(F.broadcast(sample), id_col)  # at most max_rows ids
+    known_sizes = {r[0]: (r["n"], r["__y"]) for r in sizes.groupBy(id_col).agg(F.max("n").alias("n"), F.max("__y").alias("__y")).collect()}
+    left, chosen = s.max_bytes, []
+    for key in sorted(known_sizes, key=lambda key: hash_order(key, s.seed)):
+        n, y = known_sizes[key]
+        if n <= left:
+            left -= n
+            chosen.append((key, y))
+    shape = T.StructType([texts.schema[0], T.StructField("__y", T.IntegerType())])
+    few = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, shape)), id_col)
     bits = s.bits
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -270,6 +270,7 @@ def test_toxicity_learns_and_holds_out(spark):
     assert 0 <= got[1000].score == got[1001].score < 0.3
     again = {r.doc_id: r.score for r in toxicity.score(docs.repartition(3), toxicity.fit(docs.repartition(5), known)).collect()}
     assert all(abs(again[k] - r.score) < 1e-9 for k, r in got.items())
+    assert len(toxicity.fit(docs, known, toxicity.Settings(max_bytes=100)).index) == 0  # no whole text fits
     nothing = toxicity.fit(docs, known.limit(0))
     assert toxicity.score(docs, nothing).select("score").distinct().count() == 1
     assert toxicity.reject_toxic(docs, known).columns == docs.columns
