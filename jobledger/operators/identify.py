@@ -86,8 +86,8 @@ def search(matrix: np.ndarray) -> tuple[dict[int, str], float, bool]:
     with np.errstate(divide="ignore", invalid="ignore"):
         median = np.median(matrix, axis=0)
         for v, c in permutations(range(m), 2):
-            r = np.median(matrix[:, c] / np.where(matrix[:, v] == 0, np.nan, matrix[:, v]))
-            if not 0.45 <= r <= 1.05:
+            valued = matrix[:, v] != 0
+            if not valued.any() or not 0.45 <= np.median(matrix[valued, c] / matrix[valued, v]) <= 1.05:
                 continue
             for d in range(m):
                 if d in (v, c) or np.sum((matrix[:, d] < 0) | (matrix[:, d] > 1.1 * matrix[:, c])) > bad or median[d] < 0.02 * median[c]:
@@ -118,12 +118,16 @@ def search(matrix: np.ndarray) -> tuple[dict[int, str], float, bool]:
 
 
 def identify(wide: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Mapping of every section: status success, ambiguous or insufficient, and column -> role.  One section is one schedule, hundreds of rows at most."""
+    """Mapping of every section: status success, ambiguous or insufficient, and column -> role.
+
+    Medians and allowed bad rows are those of all rows of a section with finite
+    values, in whatever order.  One section is one task's, which holds its columns.
+    """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         matrix = part[columns].to_numpy(float)
         matrix = matrix[np.isfinite(matrix).all(axis=1)]
-        mapping, score, rival = search(matrix[:256]) if len(matrix) >= 3 else ({}, 0.0, False)
+        mapping, score, rival = search(matrix) if len(matrix) >= 3 else ({}, 0.0, False)
         status = "insufficient" if not mapping else "ambiguous" if rival else "success"
         return pd.DataFrame([[*key, status, float(score), ", ".join(f"{columns[k]}={v}" for k, v in sorted(mapping.items()))]], columns=[*keys, "status", "score", "mapping"])
 

@@ -97,6 +97,20 @@ def test_search_needs_both_sides():
     assert identify.search(rng.uniform(1, 1e6, (12, 5)))[0] == {}
 
 
+def test_identification_takes_all_rows_of_a_section(spark):
+    columns = ["V", "C", "G", "D", "Q", "E", "B", "U", "O"]
+    many = [list(map(float, [r[c] for c in columns])) for r in schedule(spark).collect()] * 75
+    wrong = [[x[k] * (3 if k in (4, 5) else 1) for k in range(9)] for x in many]
+    blank = [[0.0] * 9] * 20
+    found = {}
+    for name, rows in {"few": many[:-40] + wrong[:40] + blank, "late": many[:400] + wrong[:200], "early": wrong[:200] + many[:400]}.items():
+        df = spark.createDataFrame([(1, *x) for x in rows], "portfolio_id int, " + ", ".join(f"{c} double" for c in columns)).coalesce(1)
+        found[name] = identify.identify(df, columns, ["portfolio_id"]).first()
+    assert found["few"].status == "success" and found["few"].mapping == ", ".join(f"{c}={c}" for c in columns)
+    assert "E=E" not in found["late"].mapping and "Q=Q" not in found["late"].mapping
+    assert found["late"] == found["early"]
+
+
 @pytest.mark.parametrize(("column", "factor"), [("D", 10), ("C", 10), ("Q", 10), ("E", 10), ("G", -1), ("V", 10)])
 def test_planted_errors_are_recovered(spark, column, factor):
     df = schedule(spark)
