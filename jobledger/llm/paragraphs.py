@@ -1,7 +1,8 @@
 """Paragraph near-dedup: MinHash banding, exact verification, removal by components.
 
-Paragraphs are the lines of a text with `min_words` words or more.  Equal ones
-(after normalisation) are one from the start.  Signatures of ROWS x BANDS minima
+Paragraphs are the lines of a text with `min_words` words or more, by default as
+many as a shingle has.  Shorter lines with a word are compared by equality alone.
+Equal lines (after normalisation) are one from the start.  Signatures of ROWS x BANDS minima
 over 5-word shingles put a pair of similarity 0.8 into one bucket of some band
 with probability 0.998; paragraphs that share a bucket are verified by the exact
 Jaccard similarity of their shingles, and verified links give components.  The first
@@ -29,13 +30,16 @@ from jobledger.llm.textkit import batches, column_bytes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 42
-MIN_WORDS = 20
+MIN_WORDS = SHINGLE
 #: Distinct paragraphs that one task compares with each other at once.
 UNIT = 4096
 
 
 def paragraphs(buf: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Paragraphs of all texts: text, index among the text's lines, hash, and shingles (sorted by paragraph, distinct within it) with their first of each."""
+    """Paragraphs of all texts: text, index among the text's lines, hash, and shingles (sorted by paragraph, distinct within it) with their first of each.
+
+    Under `short`, text, index and hash of the lines with fewer words, one at least.
+    """
     lines = np.flatnonzero(buf == 10)
     begins = np.unique(np.r_[offs[:-1], lines + 1])
     begins = begins[begins < (offs[-1] if len(offs) else 0)]
@@ -44,7 +48,8 @@ def paragraphs(buf: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) ->
     text = np.searchsorted(offs, begins, "right") - 1
     starts = np.searchsorted(begins, offs[:-1])
     index = np.arange(len(begins)) - starts[text] if len(begins) else text
-    used = np.flatnonzero(n >= max(min_words, SHINGLE))
+    least = max(min_words, SHINGLE)
+    used, short = np.flatnonzero(n >= least), np.flatnonzero((n > 0) & (n < least))
     size = n[used] - SHINGLE + 1
     owner = np.repeat(np.arange(len(used)), size)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1][used], size)
@@ -62,8 +67,8 @@ def paragraphs(buf: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) ->
     spread = np.zeros(len(h) + 1, np.uint64)
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], n).astype(np.uint64)
     np.cumsum(mix(h + mix(place)), out=spread[1:])
-    name = mix(spread[first[1:][used]] - spread[first[:-1][used]])
-    return {"text": text[used], "index": index[used], "name": name, "shingles": s, "begin": begin}
+    name = mix(spread[first[1:]] - spread[first[:-1]])
+    return {"text": text[used], "index": index[used], "name": name[used], "shingles": s, "begin": begin, "short": (text[short], index[short], name[short])}
 
 
 def band_keys(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -88,9 +93,12 @@ def _listed(min_words: int):
             for part in batches(whole, "__text", 1 << 20):
                 buf, offs = column_bytes(part.column(2))
                 p = paragraphs(buf, offs, min_words)
-                cut = np.searchsorted(p["text"], np.arange(part.num_rows + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(p["name"].view(np.int64)), pa.array(p["index"].astype(np.int32))], names=["p", "i"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(cut), pairs)], names=["id", "th", "own"])
+                lists = []
+                for text, index, name in ((p["text"], p["index"], p["name"]), p["short"]):
+                    cut = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+                    pairs = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(index.astype(np.int32))], names=["p", "i"])
+                    lists.append(pa.ListArray.from_arrays(pa.array(cut), pairs))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "th", "own", "short"])
 
     return run
 
@@ -205,33 +213,43 @@ def paragraph_roots(docs: DataFrame, text_col: str = "text", similarity: float =
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(listed: uid, id, th, n; removed: uid, i, stays, class) for paragraphs with a partner."""
+    """(listed: uid, id, th, own, short; removed: uid, i, short, stays, partner) for paragraphs and short lines with a partner."""
     few = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("__text"))
     kind = few.schema[0].dataType.simpleString()
-    listed = checkpoint(few.mapInArrow(_listed(min_words), f"id {kind}, th long, own array<struct<p: long, i: int>>").withColumn("uid", F.monotonically_increasing_id()))
+    pairs = "array<struct<p: long, i: int>>"
+    listed = checkpoint(few.mapInArrow(_listed(min_words), f"id {kind}, th long, own {pairs}, short {pairs}").withColumn("uid", F.monotonically_increasing_id()))
     roots = paragraph_roots(docs, text_col, similarity, min_words)
-    each = listed.select("uid", "id", F.explode("own").alias("o")).select("uid", "id", "o.p", "o.i")
-    each = each.join(roots, each["p"] == roots["node"], "left").select(F.coalesce("root", "p").alias("root"), "id", "uid", "i")
+    each, lines = (listed.select("uid", "id", F.explode(c).alias("o")).select("uid", "id", "o.p", "o.i", F.lit(c == "short").alias("short")) for c in ("own", "short"))
+    each = each.join(roots, each["p"] == roots["node"], "left").select(F.coalesce("root", "p").alias("root"), "id", "uid", "i", "short")
+    each = each.unionByName(lines.select(F.col("p").alias("root"), "id", "uid", "i", "short"))
     order = F.struct(F.col("id").isNull(), "id", "uid", "i")
-    classes = each.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("root", F.col("first.uid").alias("f_uid"), F.col("first.i").alias("f_i"), F.col("first.id").alias("f_id"))
-    plan = each.join(classes, "root").select("uid", "i", ((F.col("uid") == F.col("f_uid")) & (F.col("i") == F.col("f_i"))).alias("stays"), F.col("f_id").alias("partner"))
+    classes = each.groupBy("root", "short").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("root", "short", F.col("first.uid").alias("f_uid"), F.col("first.i").alias("f_i"), F.col("first.id").alias("f_id"))
+    plan = each.join(classes, ["root", "short"]).select("uid", "i", "short", ((F.col("uid") == F.col("f_uid")) & (F.col("i") == F.col("f_i"))).alias("stays"), F.col("f_id").alias("partner"))
     return listed, checkpoint(plan)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: id, n_paragraphs, n_linked (with an equal or similar paragraph anywhere else), n_removed (not the first of their component), first_with (smallest id that holds the first of any of them).
+    """One row per document: id, n_paragraphs, n_linked (with an equal or similar paragraph anywhere else), n_removed (not the first of their component), first_with (smallest id that holds the first of any of them, or of its short lines if no paragraph is linked), and the same counts of short lines: n_short, n_short_linked (equal to another), n_short_removed.
 
-    Lines of fewer than `min_words` words are no paragraphs; null and empty texts
-    have none.  Of repeated rows the first keeps its paragraphs.
+    Lines of fewer than `min_words` words, but one, are short lines; null and empty
+    texts have none.  Of repeated rows the first keeps its paragraphs.
     """
     listed, plan = _plan(docs, id_col, text_col, similarity, min_words)
-    sums = plan.groupBy("uid").agg(F.count(F.lit(1)).alias("k"), F.sum((~F.col("stays")).cast("long")).alias("r"), F.min("partner").alias("first_with"))
+    count = lambda on: F.count_if(on).alias
+    gone = ~F.col("stays")
+    sums = plan.groupBy("uid").agg(
+        count(~F.col("short"))("k"), count(~F.col("short") & gone)("r"), count(F.col("short"))("sk"), count(F.col("short") & gone)("sr"), F.min(F.when(~F.col("short"), F.col("partner"))).alias("first_with"), F.min("partner").alias("any_with")
+    )
     out = listed.join(sums, "uid", "left")
-    return out.select(F.col("id").alias(id_col), F.size("own").cast("long").alias("n_paragraphs"), F.coalesce("k", F.lit(0)).alias("n_linked"), F.coalesce("r", F.lit(0)).alias("n_removed"), "first_with")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select(
+        F.col("id").alias(id_col), F.size("own").cast("long").alias("n_paragraphs"), zero("k").alias("n_linked"), zero("r").alias("n_removed"), F.coalesce("first_with", "any_with").alias("first_with"),
+        F.size("short").cast("long").alias("n_short"), zero("sk").alias("n_short_linked"), zero("sr").alias("n_short_removed"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the paragraphs that are not the first of their component; other lines stay as they are.  Repeated rows are treated alike, as the first of them."""
+    """docs without the paragraphs and short lines that are not the first of their component or equal lines; lines without words stay as they are.  Repeated rows are treated alike, as the first of them."""
     listed, plan = _plan(docs, id_col, text_col, similarity, min_words)
     gone = plan.where("not stays").join(listed.select("uid", "id", "th"), "uid").groupBy("id", "th", "uid").agg(F.collect_set("i").alias("lines"))
     gone = gone.groupBy("id", "th").agg(F.min(F.struct(F.size("lines"), "lines")).alias("x"), F.count(F.lit(1)).alias("n")).select("id", "th", F.col("x.lines").alias("__gone")).alias("g")

@@ -234,6 +234,24 @@ def test_paragraphs_against_all_pairs(spark, monkeypatch, unit):
     assert paragraphs.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_paragraphs_of_few_words(spark):
+    rng = random.Random(9)
+    line = words(rng, 15)
+    near = line + " tail"
+    wrapped = "\n".join(words(rng, 12) for _ in range(8))
+    texts = [line, near, wrapped, wrapped, "Yes, it IS.", "yes it is", "no it is not\n---\n" + words(rng, 6), None, "---"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r.doc_id: r for r in paragraphs.near_duplicates(docs).collect()}
+    assert plain_jaccard(line, near) >= 0.8
+    assert [got[d].n_paragraphs for d in range(9)] == [1, 1, 8, 8, 0, 0, 1, 0, 0]
+    assert [got[d].n_linked for d in range(9)] == [1, 1, 8, 8, 0, 0, 0, 0, 0]
+    assert [got[d].n_removed for d in range(9)] == [0, 1, 0, 8, 0, 0, 0, 0, 0]
+    assert [got[d].n_short for d in range(9)] == [0, 0, 0, 0, 1, 1, 1, 0, 0]
+    assert [(got[d].n_short_linked, got[d].n_short_removed, got[d].first_with) for d in (4, 5, 6)] == [(1, 0, 4), (1, 1, 4), (0, 0, None)]
+    cleaned = {r.doc_id: r.text for r in paragraphs.drop_near_duplicates(docs).collect()}
+    assert [cleaned[d] for d in range(9)] == [line, "", wrapped, "", "Yes, it IS.", "", texts[6], None, "---"]
+
+
 @pytest.mark.parametrize("most", [100_000, -1])
 def test_line_dedup_against_counts(spark, docs, monkeypatch, most):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", most)
