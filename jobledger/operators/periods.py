@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobledger.functions.scalars import identity_score, norm_name, plausible, ratio
+from jobledger.functions.scalars import GENERIC_WORDS, identity_score, norm_id, norm_name, plausible, ratio
 from jobledger.operators.portfolio import billing
 
 _ONE = ["portfolio_id", "job_id"]
@@ -86,21 +86,23 @@ def _early(shaped: DataFrame, margin) -> DataFrame:
     return shaped.groupBy(*_ONE).agg(F.min_by(margin, at).alias("a"), F.min(at).alias("p0"), F.max_by(margin, "period").alias("z"), F.max("period").alias("p1"))
 
 
-def matching_candidates(observations: DataFrame, k: int = 3) -> DataFrame:
-    """Plausible partners of each observation (obs_id, period, block, job_id, name) in other periods, best first.
+def matching_candidates(observations: DataFrame) -> DataFrame:
+    """All plausible partners of each observation (obs_id, period, block, job_id, name) in other periods, best first.
 
-    Observations meet if they share a block (a portfolio) and an id or a word of
-    four letters or more of their names; all else scores below the threshold
-    anyway, so no pair is lost and no cross join is needed.
+    Observations meet if they share a block (a portfolio) and an id, the whole
+    name, or a telling word of their names: plausible() asks for one of these, so
+    no pair is lost and no cross join is needed.
     """
-    words = F.filter(F.split(norm_name(F.col("name")), " "), lambda w: F.length(w) >= 4)
-    keyed = observations.withColumn("k", F.explode(F.array_distinct(F.concat(words, F.array(F.concat(F.lit("id:"), F.upper(F.regexp_replace(F.coalesce("job_id", F.lit("")), "[^A-Za-z0-9]", "")))))))).where("k <> 'id:'")
+    name = norm_name(F.col("name"))
+    words = F.filter(F.split(name, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_WORDS))
+    keys = F.concat(words, F.array(F.concat(F.lit("id:"), norm_id(F.col("job_id"))), F.concat(F.lit("name:"), name)))
+    keyed = observations.withColumn("k", F.explode(F.array_distinct(keys))).where(~F.col("k").isin("id:", "name:"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.period") != F.col("b.period"))).select("a.block", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("obs_id", "job_id", "name")]).distinct()
     args = [F.col(f"{s}_{c}") for s in "ab" for c in ("job_id", "name", "name")]
     good = pairs.where(plausible(*args)).withColumn("score", identity_score(*args))
     w = Window.partitionBy("a_obs_id").orderBy(F.desc("score"), "b_obs_id")
-    return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a_obs_id").alias("obs_id"), F.col("b_obs_id").alias("match_id"), "score", "rank")
+    return good.withColumn("rank", F.row_number().over(w)).select(F.col("a_obs_id").alias("obs_id"), F.col("b_obs_id").alias("match_id"), "score", "rank")
 
 
 def match_groups(observations: DataFrame, automatic: float = 0.9) -> DataFrame:

@@ -181,6 +181,17 @@ def test_groups_link_by_id_over_periods(spark):
     assert got["1"] == got["2"] == got["4"] != got["3"]
 
 
+def test_all_plausible_partners_are_candidates(spark):
+    rows = [("c", str(y), str(y), "24-1", "") for y in range(2019, 2025)]
+    rows += [("c", "a", "2019", "", "Ash Rd"), ("c", "b", "2020", None, "ASH  RD."), ("c", "d", "2021", "9", "ash rd"), ("c", "e", "2021", "7", "Elm Rd"), ("c", "g", "2019", "", "Road Station"), ("c", "h", "2020", "", "Station Road"), ("d", "f", "2020", "", "Ash Rd")]
+    got = {}
+    for r in periods.matching_candidates(spark.createDataFrame(rows, "block string, obs_id string, period string, job_id string, name string")).collect():
+        got.setdefault(r.obs_id, {})[r.match_id] = (round(r.score, 2), r.rank)
+    assert got["2019"] == {str(y): (1.0, y - 2019) for y in range(2020, 2025)}
+    assert got["a"] == {"b": (1.0, 1), "d": (1.0, 2)} and got["d"].keys() == {"a", "b"}
+    assert not {"e", "f", "g", "h"} & got.keys()
+
+
 def test_reports_and_sinks(spark, tmp_path):
     df = schedule(spark)
     text = reports.certificate(certify.witnesses(df), ["portfolio_id"]).first().certificate
