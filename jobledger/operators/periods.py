@@ -10,6 +10,9 @@ from jobledger.functions.scalars import GENERIC_WORDS, identity_score, norm_id,
 from jobledger.operators.portfolio import billing
 
 _ONE = ["portfolio_id", "job_id"]
+#: The least score that can stand against an automatic link (0.9 less the lead of 0.08), and the share of words that it takes.
+RIVAL = 0.82
+SHARED = (RIVAL - 0.65) / 0.35 - 1e-9
 
 
 def changes(jobs: DataFrame) -> DataFrame:
@@ -105,28 +108,76 @@ def matching_candidates(observations: DataFrame) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(w)).select(F.col("a_obs_id").alias("obs_id"), F.col("b_obs_id").alias("match_id"), "score", "rank")
 
 
-def match_groups(observations: DataFrame, automatic: float = 0.9) -> DataFrame:
-    """Greedy linking of a block's observations over periods, oldest first: each joins the best group of score `automatic` or more without a report of its period, else begins its own.  One block is one contractor."""
+def _prefix_keys(words):
+    """Keys of which two names share one if half their words or so are the same (Jaccard SHARED or more).
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    For each number of words that the other name may have, the rarest of one's own
+    words suffice: all but as many as must be shared, and one.  A key is the two
+    numbers and the word, `k` with one's own number first and `met` with the other's.
+    """
+    n = F.size(words)
+    other = F.sequence(F.ceil(n * F.lit(SHARED)).cast("int"), F.floor(n / F.lit(SHARED)).cast("int"))
+    least = lambda m: F.ceil((n + m) * F.lit(SHARED / (1 + SHARED)) - F.lit(1e-9)).cast("int")
+    return F.flatten(F.transform(other, lambda m: F.transform(F.slice(words, F.lit(1), F.greatest(n - least(m) + 1, F.lit(0))), lambda w: F.struct(F.concat_ws(":", n.cast("string"), m.cast("string"), w).alias("k"), F.concat_ws(":", m.cast("string"), n.cast("string"), w).alias("met")))))
+
+
+def scored_pairs(observations: DataFrame) -> DataFrame:
+    """block, a, b, score: pairs of observations of different periods that score RIVAL or more.
+
+    Without equal ids or names, such a score takes name words of Jaccard SHARED or
+    more, as the edit part gives 0.65 at most.  Ids or words that many share make as many pairs.
+    """
+    o = observations.select("block", "obs_id", "period", "job_id", "name", norm_name(F.col("name")).alias("norm"))
+    each = o.select("block", "obs_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).where("w <> ''")
+    rarity = each.groupBy("block", "w").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+    prefix = each.join(rarity, ["block", "w"]).groupBy("block", "obs_id").agg(ordered.alias("words")).select("block", "obs_id", F.explode(_prefix_keys(F.col("words"))).alias("x")).select("block", "obs_id", "x.k", "x.met")
+    whole = F.explode(F.array(F.concat(F.lit("id:"), norm_id(F.col("job_id"))), F.concat(F.lit("name:"), F.col("norm")))).alias("k")
+    keys = o.select("block", "obs_id", whole).where(~F.col("k").isin("id:", "name:")).withColumn("met", F.col("k")).unionByName(prefix)
+    keyed = keys.join(o.drop("norm"), ["block", "obs_id"])
+    x, y = keyed.alias("a"), keyed.alias("b")
+    met = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.k") == F.col("b.met")) & (F.col("a.period") > F.col("b.period")))
+    met = met.select(F.col("a.block").alias("block"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("obs_id", "job_id", "name")]).distinct()
+    score = identity_score(*[F.col(f"{s}_{c}") for s in "ab" for c in ("job_id", "name", "name")])
+    return met.select("block", F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), score.alias("score")).where(F.col("score") >= RIVAL)
+
+
+def match_groups(observations: DataFrame, automatic: float = 0.9, lead: float = 0.08) -> DataFrame:
+    """Greedy linking of a block's observations (obs_id, period, block, job_id, name and, if known, D and B) over periods, oldest first.
+
+    A group scores as its best pair, by identity_score, with a report whose cost
+    and billing to date don't fall towards the later one.  Each observation joins
+    the best group without a report of its period if that scores `automatic` or
+    more, `lead` before the next; else it begins its own.  One block is one contractor.
+    """
+    if automatic - lead < RIVAL - 1e-9:
+        raise ValueError(f"pairs below {RIVAL} aren't scored")
+    known = [F.col(c).cast("double").alias(c) if c in observations.columns else F.lit(None).cast("double").alias(c) for c in ("D", "B")]
+
+    def run(part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["period", "obs_id"])
-        groups: list[list] = []
-        by_id: dict[str, list[int]] = {}
-        by_name: dict[str, list[int]] = {}
+        partners: dict[str, list[tuple[str, float]]] = {}
+        for a, b, s in zip(pairs["a"], pairs["b"], pairs["score"], strict=True):
+            partners.setdefault(a, []).append((b, s))
+        held: list[set] = []
+        seen: dict[str, tuple[int, float, float]] = {}
         out = []
         for r in part.itertuples():
-            key_id = "".join(c for c in str(r.job_id or "").upper() if c.isalnum())
-            key_name = " ".join("".join(c if c.isalnum() else " " for c in str(r.name or "").lower()).split())
-            options = {g: 1.0 for g in by_id.get(key_id, []) if key_id} | {g: 0.96 for g in by_name.get(key_name, []) if key_name and not key_id}
-            free = sorted(((-s, g) for g, s in options.items() if s >= automatic and r.period not in groups[g]))
-            g = free[0][1] if free else len(groups)
-            if g == len(groups):
-                groups.append([])
-            groups[g].append(r.period)
-            by_id.setdefault(key_id, []).append(g)
-            by_name.setdefault(key_name, []).append(g)
+            scores: dict[int, float] = {}
+            for other, s in partners.get(r.obs_id, []):
+                g, d, b = seen[other]
+                if not (r.D + 1 < d or r.B + 1 < b) and r.period not in held[g]:
+                    scores[g] = max(s, scores.get(g, -1.0))
+            ranked = sorted((-s, g) for g, s in scores.items())
+            sure = ranked and -ranked[0][0] >= automatic and (len(ranked) < 2 or ranked[1][0] - ranked[0][0] >= lead)
+            g = ranked[0][1] if sure else len(held)
+            if g == len(held):
+                held.append(set())
+            held[g].add(r.period)
+            seen[r.obs_id] = (g, r.D, r.B)
             out.append((r.block, r.obs_id, g))
         return pd.DataFrame(out, columns=["block", "obs_id", "group_id"])
 
     kind = observations.schema["block"].dataType.simpleString()
-    return observations.select("block", "obs_id", "period", "job_id", "name").groupBy("block").applyInPandas(run, f"block {kind}, obs_id string, group_id long")
+    rows = observations.select("block", "obs_id", "period", *known)
+    return rows.groupBy("block").cogroup(scored_pairs(observations).groupBy("block")).applyInPandas(run, f"block {kind}, obs_id string, group_id long")

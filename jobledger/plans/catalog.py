@@ -77,7 +77,7 @@ _on_jobs("estimate_anomalies", lambda j: periods.estimate_anomalies(_revised(j))
 _on_jobs("robust_anomaly", lambda j: periods.robust_anomalies(j.select(*KEYS, "job_id", scalars.ratio("B", "V").alias("x")), KEYS, "x", least_mad=0.002).select(*KEYS, "job_id", "z"))
 _on_jobs("early_underbilling_evidence", periods.early_underbilling)
 _on_jobs("identify_mapping", lambda j: identify.identify(portfolio.billing(j).select(*KEYS, *[F.col(c).alias(f"c{k}") for k, c in enumerate((*t.MONEY, "U", "O"))]), [f"c{k}" for k in range(9)], KEYS))
-_on_jobs("match_groups", lambda j: periods.match_groups(_observations(j)))
+_on_jobs("match_groups", lambda j: periods.match_groups(_named(j)))
 _on_jobs("certificate", lambda j: reports.certificate(certify.witnesses(_wide(j)), KEYS))
 
 
@@ -91,6 +91,15 @@ def _observations(j: DataFrame) -> DataFrame:
     return j.select(F.col("portfolio_id").alias("block"), F.concat_ws("/", F.col("job_id").cast("string"), F.col("period").cast("string")).alias("obs_id"), F.col("period").cast("string").alias("period"), F.col("job_id").cast("string").alias("job_id"), F.lit("").alias("name"))
 
 
+def _named(j: DataFrame) -> DataFrame:
+    """Observations with figures and a name of each job's own; a third of the reports show no id, another third write the name in capitals."""
+    kind = (F.col("job_id") + F.year("period")) % 3
+    name = F.concat_ws(" ", F.lit("Works"), F.substring(F.md5(F.col("job_id").cast("string")), 1, 12), F.lit("Section"), F.col("job_id").cast("string"))
+    obs_id = F.concat_ws("/", F.col("job_id").cast("string"), F.col("period").cast("string"))
+    job_id = F.when(kind != 0, F.col("job_id").cast("string"))
+    return j.select(F.col("portfolio_id").alias("block"), obs_id.alias("obs_id"), F.col("period").cast("string").alias("period"), job_id.alias("job_id"), F.when(kind == 1, F.upper(name)).otherwise(name).alias("name"), "D", "B")
+
+
 @query
 def derive_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the jobs each from V C D B, from V G D B and from C G Q B."""

@@ -181,6 +181,32 @@ def test_groups_link_by_id_over_periods(spark):
     assert got["1"] == got["2"] == got["4"] != got["3"]
 
 
+def test_groups_link_by_score(spark):
+    rows = [
+        ("c", "a1", "2023", None, "Willow Transit Center North", 10.0, 10.0), ("c", "a2", "2024", None, "Willow Transit Centre North", 20.0, 20.0),  # nearly equal names: 0.86, too little
+        ("c", "b1", "2023", "", "Maple Street Fire Station Annexes", 10.0, 10.0), ("c", "b2", "2024", "", "Maple Street Fire Station Annexes.", 20.0, 20.0),
+        ("c", "n1", "2023", None, "Great Northern Interceptor Sewer Rehabilitation Stage Two Contract Nine East", 1.0, 1.0), ("c", "n2", "2024", None, "Great Northern Interceptor Sewer Rehabilitation Stage Two Contract Nine Eastt", 2.0, 2.0),
+        ("c", "e1", "2023", None, "Oak Hall", 10.0, 10.0), ("c", "e2", "2024", "24-7", "OAK HALL", 20.0, 20.0),  # an id, the earlier report has none
+        ("c", "f1", "2023", "7", "Alpha Works", 10.0, 10.0), ("c", "f2", "2024", "7", "Zulu Kiosk", 20.0, 20.0),  # names conflict: 0.78
+        ("c", "g1", "2023", "8", "", 10.0, 10.0), ("c", "g2", "2024", "8", "", 5.0, 20.0), ("c", "g3", "2025", "8", "", 11.0, 21.0),  # cost to date falls, then two groups score alike
+        ("c", "h1", "2023", "9", "Ash Rd", 10.0, 10.0), ("c", "h2", "2023", "10", "Ash Rd", 10.0, 10.0), ("c", "h3", "2024", None, "Ash Rd", 20.0, 20.0),  # no lead
+        ("d", "h4", "2024", "9", "Ash Rd", 20.0, None),
+    ]
+    got = {r.obs_id: (r.block, r.group_id) for r in periods.match_groups(spark.createDataFrame(rows, "block string, obs_id string, period string, job_id string, name string, D double, B double")).collect()}
+    same = {(x, y) for x in got for y in got if x < y and got[x] == got[y]}
+    assert same == {("b1", "b2"), ("n1", "n2"), ("e1", "e2")}
+
+
+def test_prefix_keys_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["oak", "elm", "north", "south", "hall", "school", "i", "95", "hov", "bridge", "lot"]
+    rows = [("c", str(k), str(2020 + k % 2), rng.choice([None, "1", "2", "3"]), " ".join(rng.choice(vocabulary, rng.integers(1, 6)))) for k in range(120)]
+    df = spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], "block string, obs_id string, period string, job_id string, name string")
+    args = [F.col(f"{s}.{c}") for s in "ab" for c in ("job_id", "name", "name")]
+    plain = df.alias("a").crossJoin(df.alias("b")).where("a.period > b.period").select(F.col("a.obs_id").alias("a"), F.col("b.obs_id").alias("b"), scalars.identity_score(*args).alias("s")).where(F.col("s") >= periods.RIVAL)
+    assert {tuple(r) for r in periods.scored_pairs(df).select("a", "b", "score").collect()} == {tuple(r) for r in plain.collect()} != set()
+
+
 def test_all_plausible_partners_are_candidates(spark):
     rows = [("c", str(y), str(y), "24-1", "") for y in range(2019, 2025)]
     rows += [("c", "a", "2019", "", "Ash Rd"), ("c", "b", "2020", None, "ASH  RD."), ("c", "d", "2021", "9", "ash rd"), ("c", "e", "2021", "7", "Elm Rd"), ("c", "g", "2019", "", "Road Station"), ("c", "h", "2020", "", "Station Road"), ("d", "f", "2020", "", "Ash Rd")]
