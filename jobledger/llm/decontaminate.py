@@ -120,7 +120,7 @@ class SuffixAutomaton:
 class Matcher:
     """Items as word numbers with their automaton; finds hit words of whole texts."""
 
-    def __init__(self, rows: list[tuple[str, str]], length: int):
+    def __init__(self, rows: list[tuple[str | None, str]], length: int):
         texts = pa.array([t or "" for _, t in rows], pa.large_string())
         buf, offs = column_bytes(texts)
         s, e, h, first = words(buf, offs)
@@ -193,18 +193,18 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks whose text stays under BLOCK_BYTES or so; null texts left out."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks whose text stays under BLOCK_BYTES or so; null texts left out, null ids kept."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = int(size // BLOCK_BYTES) + 1
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-        yield sorted((r.i, r.t) for r in rows.collect())
+        yield sorted(((r.i, r.t) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length: int = 10, item_col: str = "item_id", item_text: str = "text", finish=None) -> DataFrame:
-    """docs with __n_words, __spans (hit ranges in words, merged), __items (names of items with occurring windows, sorted).
+    """docs with __n_words, __spans (hit ranges in words, merged), __items (names of items with occurring windows, sorted, null last).
 
     `finish` makes something else of a batch, its merged spans and its words in
     the last pass; the result then has the columns of docs.
@@ -230,7 +230,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
                     if last:
                         yield last(part, spans, n, found)
                         continue
-                    names = [sorted({*o, *(matcher.names[i] for i in s)}) if s else o for o, s in zip(old_items, items, strict=True)]
+                    names = [sorted({*o, *(matcher.names[i] for i in s)}, key=lambda x: (x is None, x or "")) if s else o for o, s in zip(old_items, items, strict=True)]
                     kept = [part.column(at(c)) for c in columns]
                     kind = part.schema.field(at("__spans")).type
                     new = [pa.array(n, pa.int64()), pa.array([[{"a": a, "z": z} for a, z in s] for s in spans], kind), pa.array(names, part.schema.field(at("__items")).type)]
@@ -244,7 +244,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null or empty texts have no words and no hits.  Equal items count each; an
-    item without words never occurs.  Repeated rows give repeated rows; an empty
+    item without words never occurs; items without an id hit as others do, count
+    as one in n_items and have no name in items_sha256.  Repeated rows give repeated rows; an empty
     benchmark hits nothing.
     """
     found = find_spans(docs.select(id_col, text_col), benchmark, text_col, length)

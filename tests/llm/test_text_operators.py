@@ -170,6 +170,19 @@ def test_contamination_against_plain_windows(spark, docs, corpus, monkeypatch, b
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 40])
+def test_benchmark_items_without_ids_hit(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(12)
+    a, b, rest = words(rng, 12), words(rng, 11), words(rng, 40)
+    docs = spark.createDataFrame(rows_of([f"{rest} {a} {rest}", f"{rest} {a} {b} {rest}", rest]), SCHEMA)
+    bench = spark.createDataFrame([(None, a), (None, b), (4, b)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert [(got[k].n_hit, got[k].n_items, got[k].contaminated) for k in range(3)] == [(12, 1, True), (23, 2, True), (0, 0, False)]
+    assert [got[k].items_sha256 for k in range(3)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"4", b"")]
+    assert {r.doc_id: a in r.text or b in r.text for r in decontaminate.remove_spans(docs, bench).collect()} == {0: False, 1: False, 2: False}
+
+
 def plain_repeats(texts, length):
     count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     for t in texts:
