@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _count_again(linededup.drop_boilerplate(docs)).select(*docs.columns)
+    """Two pages suffice, so that the ratio decides on sites of any size; one page alone repeats nothing."""
+    return _count_again(linededup.drop_boilerplate(docs, min_pages=2)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,10 @@ def test_stages_keep_columns_and_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         nothing = stage(spark, nothing, SMALL)
     assert nothing.count() == 0
+
+
+def test_pipeline_drops_lines_of_small_sites(spark):
+    texts = [f"own line {k}\nfooter of the site" for k in range(4)]
+    docs = spark.createDataFrame([(k, t, "small", len(t)) for k, t in enumerate(texts)] + [(9, "alone\nalone too", "single", 15)], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
+    assert got == {k: (f"own line {k}", 10) for k in range(4)} | {9: ("alone\nalone too", 15)}
