@@ -1,138 +1,234 @@
 """Paragraph near-dedup: MinHash banding, exact verification, removal by components.
 
-Paragraphs are the lines of a text with `min_words` words or more, by default as
-many as a shingle has.  Shorter lines with a word are compared by equality alone.
-Equal lines (after normalisation) are one from the start.  Signatures of ROWS x BANDS minima
-over 5-word shingles put a pair of similarity 0.8 into one bucket of some band
-with probability 0.998; paragraphs that share a bucket are verified by the exact
-Jaccard similarity of their shingles, and verified links give components.  The first
-paragraph of a component stays; the others go.
-
-Shingles are read again for paragraphs that share a bucket only, and each travels
-once, to the task of its group of connected buckets.  Groups too large for a task
-are verified by bucket, and buckets too large in pairs of blocks, so that every
+Paragraphs are cut by content, not by line breaks: a cut lies before a word whose
+pair with the next has the least hash among its REACH neighbours on either side,
+and a paragraph runs from one cut to the first other cut LEAST_WORDS or more behind
+it.  So paragraphs overlap, every word is in one, and a passage that texts share
+has the same paragraphs in each, wherever it stands and however it is wrapped.
+Lines are compared beside them, by themselves.
+
+Equal paragraphs (after normalisation) are one from the start.  Signatures of
+ROWS x BANDS minima over 5-word shingles put a pair of similarity 0.8 into one
+bucket of some band with probability 0.994; paragraphs that share a bucket are
+verified by the exact Jaccard similarity of their shingles, and verified links give
+components.  The first paragraph of a component stays; the others go.
+
+Bucket keys travel packed, 12 bytes for a band, to find the buckets in which
+different paragraphs meet; only paragraphs of these travel with their shingles.
+Buckets too large for a task are verified in pairs of blocks, so that every
 colliding pair is compared whatever the sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobledger.llm.components import components, label_components
+from jobledger.llm.components import components
 from jobledger.llm.simhash import whole_units
-from jobledger.llm.tables import checkpoint, in_units, passes, sieve
-from jobledger.llm.textkit import batches, column_bytes, mix, words
+from jobledger.llm.tables import checkpoint, in_units, join_unique, partitions, passes, sieve
+from jobledger.llm.textkit import _INV, _POW, batches, column_bytes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 12, 4, 42
-MIN_WORDS = SHINGLE
+BANDS, ROWS, SEED = 5, 2, 42
+#: Neighbours that a cut's hash is held against, and words that a paragraph has at least.
+REACH, LEAST_WORDS = 5, 20
+#: Words without a cut beyond which cuts are made every STRIDE words.
+MOST_WORDS, STRIDE = 32, 16
+RUN, LINE = 0, 1
 #: Distinct paragraphs that one task compares with each other at once.
 UNIT = 4096
-
-
-def paragraphs(buf: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Paragraphs of all texts: text, index among the text's lines, hash, and shingles (sorted by paragraph, distinct within it) with their first of each.
-
-    Under `short`, text, index and hash of the lines with fewer words, one at least.
-    """
-    lines = np.flatnonzero(buf == 10)
-    begins = np.unique(np.r_[offs[:-1], lines + 1])
-    begins = begins[begins < (offs[-1] if len(offs) else 0)]
-    _, _, h, first = words(buf, np.r_[begins, offs[-1:]])
-    n = np.diff(first)
+#: Paragraphs whose keys a task packs at once.
+PACKED = 1 << 17
+_HIGH48 = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Indexes of words before which a paragraph may begin or end: texts' first words, content-defined cuts, and the number of words."""
+    n = len(h)
+    if not n:
+        return np.zeros(1, np.int64)
+    g = mix(h * np.uint64(0x9E3779B97F4A7C55) + np.r_[h[1:], h[:1]] * np.uint64(0xC2B2AE3D27D4EB4F))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    k = np.arange(n)
+    # a cut's neighbours and their pairs lie within its text, so that the surroundings decide alone
+    inner = (k - first[text] > REACH) & (first[text + 1] - k > REACH + 1)
+    least = np.full(n + 1, np.uint64(0xFFFFFFFFFFFFFFFF))  # of REACH words from here
+    least[:n] = g
+    for j in range(1, REACH):
+        least[: n - j] = np.minimum(least[: n - j], g[j:])
+    k = k[inner]
+    found = k[(g[k] < least[k - REACH]) & (g[k] <= least[k + 1])]
+    found = np.unique(np.r_[found, first])
+    gap = np.diff(found)
+    more = np.where(gap > MOST_WORDS, gap // STRIDE - 1, 0)
+    extra = np.repeat(found[:-1], more) + STRIDE * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1)
+    return np.sort(np.r_[found, extra])
+
+
+def runs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word) of content-defined paragraphs; a text of fewer words than a paragraph is one."""
+    edge = cuts(h, first)
+    begin = edge[:-1] if len(edge) > 1 else edge[:0]
+    text = np.searchsorted(first, begin, "right") - 1
+    end = np.minimum(np.r_[edge, len(h)][np.searchsorted(edge, begin + LEAST_WORDS)], first[text + 1])
+    good = (end - begin >= LEAST_WORDS) | ((begin == first[text]) & (end == first[text + 1]))
+    text, begin, end = text[good], begin[good], end[good]
+    if not len(end):
+        return text, begin, end
+    # of those with one end the shortest that leaves no word behind the one before, so that no two of a text are alike by their overlap
+    lead = np.r_[True, end[1:] != end[:-1]]
+    last = np.r_[lead[1:], True]
+    earliest, latest, text, end = begin[lead], begin[last], text[last], end[last]
+    before = np.where(np.r_[False, text[1:] == text[:-1]], np.r_[0, end[:-1]], first[text])
+    return text, np.clip(before, earliest, latest), end
+
+
+def lines(buf: np.ndarray, offs: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word, index among the text's lines) of lines with a word."""
+    breaks = np.flatnonzero(buf == 10) + 1
+    begins = np.unique(np.r_[offs[:-1], breaks])
+    begins = begins[begins < offs[-1]]
+    at = np.searchsorted(s, np.r_[begins, offs[-1]])
     text = np.searchsorted(offs, begins, "right") - 1
-    starts = np.searchsorted(begins, offs[:-1])
-    index = np.arange(len(begins)) - starts[text] if len(begins) else text
-    least = max(min_words, SHINGLE)
-    used, short = np.flatnonzero(n >= least), np.flatnonzero((n > 0) & (n < least))
-    size = n[used] - SHINGLE + 1
-    owner = np.repeat(np.arange(len(used)), size)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1][used], size)
-    s = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        s = s * np.uint64(0x9FB21C651E98DF25) + h[at + k]
-    s = mix(s)
-    ordered = np.lexsort((s, owner))
-    owner, s = owner[ordered], s[ordered]
-    once = np.ones(len(s), bool)
-    once[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-    owner, s = owner[once], s[once]
-    begin = np.searchsorted(owner, np.arange(len(used) + 1))
-    # a paragraph's name: the hash of its words in order
-    spread = np.zeros(len(h) + 1, np.uint64)
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], n).astype(np.uint64)
-    np.cumsum(mix(h + mix(place)), out=spread[1:])
-    name = mix(spread[first[1:]] - spread[first[:-1]])
-    return {"text": text[used], "index": index[used], "name": name[used], "shingles": s, "begin": begin, "short": (text[short], index[short], name[short])}
-
-
-def band_keys(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) bucket keys."""
-    if len(begin) < 2:
-        return np.zeros((0, BANDS), np.uint64)
-    keys = np.zeros((len(begin) - 1, BANDS), np.uint64)
-    rng = np.random.default_rng(SEED)
-    for b in range(BANDS):
-        key = np.full(len(begin) - 1, b, np.uint64)
-        for _ in range(ROWS):
-            a, c = rng.integers(1, 1 << 63, 2, np.uint64)
-            x = (shingles ^ c) * (a | np.uint64(1))
-            key = mix(key + np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin[:-1]))
-        keys[:, b] = key
-    return keys
-
-
-def _listed(min_words: int):
+    index = np.arange(len(begins)) - np.searchsorted(begins, offs[:-1])[text] if len(begins) else text
+    used = at[1:] > at[:-1]
+    return text[used], at[:-1][used], at[1:][used], index[used]
+
+
+class Paragraphs:
+    """Paragraphs of both kinds of all texts of a batch: text, kind, index within the text and kind, begin and end in words, name (a hash of kind and words)."""
+
+    def __init__(self, column: pa.Array):
+        self.buf, self.offs = column_bytes(column)
+        self.s, self.e, self.h, self.first = words(self.buf, self.offs)
+        t, a, z = runs(self.h, self.first)
+        order = np.arange(len(t)) - np.searchsorted(t, np.arange(len(self.offs)))[t] if len(t) else t
+        lt, la, lz, li = lines(self.buf, self.offs, self.s)
+        self.text, self.begin, self.end, self.index = (np.concatenate(x).astype(np.int64) for x in ((t, lt), (a, la), (z, lz), (order, li)))
+        self.kind = np.repeat(np.array([RUN, LINE], np.int8), [len(t), len(lt)])
+        n = len(self.h)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.h * _POW.upto(n), out=total[1:])
+        self.size = self.end - self.begin
+        salt = self.size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + self.kind.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        self.name = mix((total[self.end] - total[self.begin]) * _INV.upto(n + 1)[self.begin] + salt)
+        shingle = np.zeros(n + 1, np.uint64)
+        if n >= SHINGLE:
+            shingle[: n - SHINGLE + 1] = mix((total[SHINGLE:] - total[: n - SHINGLE + 1]) * _INV.upto(n + 1)[: n - SHINGLE + 1])
+        self.shingle = shingle
+
+    def keys(self, pick: np.ndarray) -> np.ndarray:
+        """(paragraphs, BANDS) bucket keys, 48 bits each in the high bits, of paragraphs with a shingle."""
+        out = np.zeros((len(pick), BANDS), np.uint64)
+        if not len(pick):
+            return out
+        a, z = self.begin[pick], self.end[pick] - SHINGLE + 1
+        ranges = np.stack([a, z], axis=1).reshape(-1)
+        rng = np.random.default_rng(SEED)
+        for b in range(BANDS):
+            key = self.kind[pick].astype(np.uint64) * np.uint64(BANDS) + np.uint64(b)
+            for _ in range(ROWS):
+                odd, c = rng.integers(1, 1 << 63, 2, np.uint64)
+                x = (self.shingle ^ c) * (odd | np.uint64(1))
+                key = mix(key + np.minimum.reduceat(x ^ (x >> np.uint64(32)), ranges)[::2])
+            out[:, b] = key & _HIGH48
+        return out
+
+    def set(self, k: int) -> bytes:
+        """Sorted distinct shingles of paragraph k."""
+        return np.unique(self.shingle[self.begin[k] : self.end[k] - SHINGLE + 1]).astype("<u8").tobytes()
+
+    def span(self, k: int) -> tuple[int, int]:
+        """Bytes of a paragraph, or of a line with its break, within its text."""
+        at = int(self.offs[self.text[k]])
+        a, z = int(self.s[self.begin[k]]), int(self.e[self.end[k] - 1])
+        return a - at, z - at
+
+
+def _each(make: Callable[[pa.RecordBatch, Paragraphs], pa.RecordBatch | None], column: str = "__text"):
+    """A mapInArrow function that hands parts of about a megabyte of text to make(part, its paragraphs)."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for part in batches(whole, "__text", 1 << 20):
-                buf, offs = column_bytes(part.column(2))
-                p = paragraphs(buf, offs, min_words)
-                lists = []
-                for text, index, name in ((p["text"], p["index"], p["name"]), p["short"]):
-                    cut = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
-                    pairs = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(index.astype(np.int32))], names=["p", "i"])
-                    lists.append(pa.ListArray.from_arrays(pa.array(cut), pairs))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "th", "own", "short"])
+            for part in batches(whole, column):
+                out = make(part, Paragraphs(part.column(part.schema.get_field_index(column))))
+                if out is not None and out.num_rows:
+                    yield out
 
     return run
 
 
-def _banded(min_words: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
-            for part in batches(whole, "__text", 1 << 20):
-                buf, offs = column_bytes(part.column(0))
-                p = paragraphs(buf, offs, min_words)
-                keys = band_keys(p["shingles"], p["begin"])
-                _, once = np.unique(p["name"], return_index=True)
-                flat = pa.array(keys[once].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p["name"][once].view(np.int64), BANDS)), flat], names=["p", "key"])
+def _low(x: np.ndarray, n: int) -> np.ndarray:
+    """The n high bytes of each unsigned 64-bit number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :]
 
-    return run
 
+def _high(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(x) // n, 8), np.uint8)
+    out[:, 8 - n :] = x.reshape(-1, n)
+    return out.view("<u8").reshape(-1)
+
+
+def _packed(shards: int):
+    """(unit, keys, names): bucket keys with the high bits of names, 12 bytes each, and names (twice if they occur again), dealt to units by the keys' and names' high bits."""
+    away = np.uint64(64 - (shards.bit_length() - 1))
+
+    def flush(name: list[np.ndarray], key: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
+        names, times = np.unique(np.concatenate(name), return_counts=True)
+        names = np.repeat(names, np.minimum(times, 2))
+        k, p = np.concatenate(key), np.concatenate(owner)
+        _, once = np.unique(p, return_index=True)
+        k, p = k[once].reshape(-1), np.repeat(p[once], BANDS)
+        order = np.argsort(k)
+        k, p = k[order], p[order]
+        both = np.ascontiguousarray(np.concatenate([_low(k, 6), _low(p, 6)], axis=1))
+        grid = np.arange(shards, dtype=np.uint64) << away
+        cut, ncut = (np.append(np.searchsorted(x, grid), len(x)) for x in (k, names))
+        full = np.flatnonzero((np.diff(cut) > 0) | (np.diff(ncut) > 0))
+        packed = [both[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()]
+        named = [names[ncut[i] : ncut[i + 1]].astype("<u8").tobytes() for i in full.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary()), pa.array(named, pa.binary())], names=["unit", "keys", "names"])
 
-def _sets(table: bytes, min_words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        rows = 0
         for whole in parts:
-            for part in batches(whole, "__text", 1 << 20):
-                buf, offs = column_bytes(part.column(0))
-                p = paragraphs(buf, offs, min_words)
-                _, once = np.unique(p["name"], return_index=True)
-                once = once[passes(table, p["name"][once])]
-                s, begin = p["shingles"].astype("<u8"), p["begin"]
-                rows = [s[begin[k] : begin[k + 1]].tobytes() for k in once.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(p["name"][once].view(np.int64)), pa.array(rows, pa.binary())], names=["p", "s"])
+            for part in batches(whole, "__text"):
+                p = Paragraphs(part.column(0))
+                banded = np.flatnonzero(p.size >= SHINGLE)
+                _, once = np.unique(p.name[banded], return_index=True)
+                banded = banded[once]
+                for x, y in zip(held, (p.name, p.keys(banded), p.name[banded]), strict=True):
+                    x.append(y)
+                rows += len(p.name)
+                if rows >= PACKED:
+                    yield flush(*held)
+                    held, rows = ([], [], []), 0
+        if rows:
+            yield flush(*held)
 
     return run
 
 
-def linked(sets: list[np.ndarray], part: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+def _met(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(named, k): bucket keys in which different names meet, and names that occur again."""
+    for t in whole_units(parts, 64):
+        raw = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint8).reshape(-1, 12)
+        k, p = _high(np.ascontiguousarray(raw[:, :6]).reshape(-1), 6), _high(np.ascontiguousarray(raw[:, 6:]).reshape(-1), 6)
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
+        keys = np.unique(k[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])])
+        names = np.sort(np.frombuffer(b"".join(t["names"].to_pylist()), "<u8"))
+        names = np.unique(names[1:][names[1:] == names[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [len(keys), len(names)])), pa.array(np.concatenate([keys, names]).view(np.int64))], names=["named", "k"])
+
+
+def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """Component labels of sets linked by Jaccard similarity, breadth first: what is reached is compared with what isn't only."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -167,14 +263,19 @@ def linked(sets: list[np.ndarray], part: np.ndarray, similarity: float = SIMILAR
 
 def _verified(similarity: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_units(parts):
-            unit, p, part = t["unit"].to_numpy(), t["p"].to_numpy(), t["part"].to_numpy()
+        for t in whole_units(parts, 4000):
+            unit, p = t["unit"].to_numpy(), t["p"].to_numpy()
             sets = [np.frombuffer(x, "<u8") for x in t["s"].to_pylist()]
             starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
             a, b = [], []
             for x, z in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True):
-                if z - x > 1:
-                    label = linked(sets[x:z], part[x:z], similarity)
+                if z - x == 2:
+                    both = len(np.intersect1d(sets[x], sets[x + 1], assume_unique=True))
+                    if both >= similarity * (len(sets[x]) + len(sets[x + 1]) - both) - 1e-12:
+                        a.append(p[x : x + 1])
+                        b.append(p[x + 1 : z])
+                elif z - x > 1:
+                    label = linked(sets[x:z], similarity)
                     k = np.flatnonzero(label != np.arange(z - x))
                     a.append(p[x + k])
                     b.append(p[x + label[k]])
@@ -184,77 +285,138 @@ def _verified(similarity: float):
     return run
 
 
-def paragraph_roots(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(node, root) over names of distinct paragraphs that link with another."""
-    texts = docs.select(F.col(text_col).alias("__text")).where(F.col(text_col).isNotNull())
-    keyed = texts.mapInArrow(_banded(min_words), "p long, key long")
-    # a bucket matters if two names meet in it; its least name stands for it
-    met = checkpoint(keyed.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("key", "lo"))
-    crowded = sieve(met, "key")
-
-    def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _banded(min_words)(parts):
-            yield part.filter(pa.array(passes(crowded, part.column(1).to_numpy().view(np.uint64))))
-
-    members = checkpoint(texts.mapInArrow(shared, "p long, key long").distinct().join(met, "key").select("p", "key", "lo"))
-    group = components(members.select(F.col("p").alias("a"), F.col("lo").alias("b")))
-    grouped = checkpoint(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()))
-    wanted = sieve(grouped, "node")
-    sets = texts.mapInArrow(_sets(wanted, min_words), "p long, s binary").groupBy("p").agg(F.first("s").alias("s"))
-    sets = checkpoint(sets.join(grouped, F.col("p") == F.col("node")).select("p", "s", "root"))
-    large = checkpoint(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > UNIT).select("root"))
-    check = _verified(similarity)
-    if large.isEmpty():
-        return components(in_units(sets, "root", ["p"], UNIT).select("unit", "part", "p", "s").mapInArrow(check, "a long, b long"))
-    small = in_units(sets.join(large, "root", "left_anti"), "root", ["p"], UNIT)
-    by_bucket = in_units(sets.join(large, "root", "left_semi").select("p", "s").join(members.select("p", "key"), "p"), "key", ["p"], UNIT)
-    found = [x.select("unit", "part", "p", "s").mapInArrow(check, "a long, b long") for x in (small, by_bucket)]
-    return components(found[0].unionByName(found[1]))
-
-
-def _plan(docs: DataFrame, id_col: str, text_col: str, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(listed: uid, id, th, own, short; removed: uid, i, short, stays, partner) for paragraphs and short lines with a partner."""
+def paragraph_roots(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(roots: node, root over names of paragraphs that link with a different one; again: names that occur more than once, as p)."""
+    spark = texts.sparkSession
+    shards = 1 << (4 * partitions(spark) - 1).bit_length()
+    packed = texts.mapInArrow(_packed(shards), "unit int, keys binary, names binary")
+    met = checkpoint(packed.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_met, "named boolean, k long"))
+    again = met.where("named").select(F.col("k").alias("p"))
+    crowded = met.where("not named").select(F.col("k").alias("key"))
+    table = sieve(crowded, "key")
+
+    def members(part: pa.RecordBatch, p: Paragraphs) -> pa.RecordBatch:
+        banded = np.flatnonzero(p.size >= SHINGLE)
+        _, once = np.unique(p.name[banded], return_index=True)
+        banded = banded[once]
+        keys = p.keys(banded)
+        good = passes(table, keys.reshape(-1)).reshape(keys.shape)
+        some = good.any(axis=1)
+        banded, keys, good = banded[some], keys[some], good[some]
+        sets = pa.array([p.set(k) for k in banded.tolist()], pa.binary())
+        offsets = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(p.name[banded].view(np.int64)), sets, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[good].view(np.int64)))], names=["p", "s", "keys"])
+
+    found = texts.mapInArrow(_each(members), "p long, s binary, keys array<long>").groupBy("p").agg(F.first("s").alias("s"), F.first("keys").alias("keys"))
+    dealt = checkpoint(found.select("p", "s", F.explode("keys").alias("key")).join(crowded, "key", "left_semi"))
+    links = in_units(dealt, "key", ["p"], UNIT).select("unit", "part", "p", "s").mapInArrow(_verified(similarity), "a long, b long")
+    return components(links), again
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(listed: uid, id, th, n_run, n_line, own; plan: uid, kind, i, stays, partner for paragraphs and lines with a partner)."""
     few = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("__text"))
+    roots, again = paragraph_roots(few.select("__text").where("__text is not null"), similarity)
+    table = sieve(again.unionByName(roots.select(F.col("node").alias("p"))), "p")
+
+    def own(part: pa.RecordBatch, p: Paragraphs) -> pa.RecordBatch:
+        n = part.num_rows
+        counts = [pa.array(np.bincount(p.text[p.kind == k], minlength=n)) for k in (RUN, LINE)]
+        pick = np.flatnonzero(passes(table, p.name))
+        pick = pick[np.argsort(p.text[pick], kind="stable")]
+        cut = np.searchsorted(p.text[pick], np.arange(n + 1)).astype(np.int32)
+        rows = pa.StructArray.from_arrays([pa.array(p.name[pick].view(np.int64)), pa.array(p.kind[pick]), pa.array(p.index[pick].astype(np.int32))], names=["p", "k", "i"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.ListArray.from_arrays(pa.array(cut), rows)], names=["id", "th", "n_run", "n_line", "own"])
+
     kind = few.schema[0].dataType.simpleString()
-    pairs = "array<struct<p: long, i: int>>"
-    listed = checkpoint(few.mapInArrow(_listed(min_words), f"id {kind}, th long, own {pairs}, short {pairs}").withColumn("uid", F.monotonically_increasing_id()))
-    roots = paragraph_roots(docs, text_col, similarity, min_words)
-    each, lines = (listed.select("uid", "id", F.explode(c).alias("o")).select("uid", "id", "o.p", "o.i", F.lit(c == "short").alias("short")) for c in ("own", "short"))
-    each = each.join(roots, each["p"] == roots["node"], "left").select(F.coalesce("root", "p").alias("root"), "id", "uid", "i", "short")
-    each = each.unionByName(lines.select(F.col("p").alias("root"), "id", "uid", "i", "short"))
-    order = F.struct(F.col("id").isNull(), "id", "uid", "i")
-    classes = each.groupBy("root", "short").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("root", "short", F.col("first.uid").alias("f_uid"), F.col("first.i").alias("f_i"), F.col("first.id").alias("f_id"))
-    plan = each.join(classes, ["root", "short"]).select("uid", "i", "short", ((F.col("uid") == F.col("f_uid")) & (F.col("i") == F.col("f_i"))).alias("stays"), F.col("f_id").alias("partner"))
+    listed = few.mapInArrow(_each(own), f"id {kind}, th long, n_run long, n_line long, own array<struct<p: long, k: byte, i: int>>")
+    listed = checkpoint(listed.withColumn("uid", F.monotonically_increasing_id()))
+    each = listed.select("uid", "id", F.explode("own").alias("o")).select("uid", "id", "o.p", "o.k", "o.i")
+    # names are few beside their occurrences, so classes are found over names
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "i")
+    names = each.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    names = checkpoint(names.join(roots, names["p"] == roots["node"], "left").select("p", "n", "first", F.coalesce("root", "p").alias("root")))
+    classes = checkpoint(names.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").select("root", "first"))
+    known = checkpoint(join_unique(names.select("p", "root"), classes, "root").select("p", F.col("first.uid").alias("f_uid"), F.col("first.i").alias("f_i"), F.col("first.id").alias("f_id")))
+    plan = join_unique(each, known, "p").select("uid", "k", "i", ((F.col("uid") == F.col("f_uid")) & (F.col("i") == F.col("f_i"))).alias("stays"), F.col("f_id").alias("partner"))
     return listed, checkpoint(plan)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: id, n_paragraphs, n_linked (with an equal or similar paragraph anywhere else), n_removed (not the first of their component), first_with (smallest id that holds the first of any of them, or of its short lines if no paragraph is linked), and the same counts of short lines: n_short, n_short_linked (equal to another), n_short_removed.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: id, n_paragraphs, n_linked (with an equal or similar paragraph anywhere else), n_removed (not the first of their component), first_with (smallest id that holds the first of any of them), and the same counts of lines with a word: n_lines, n_lines_linked, n_lines_removed.
 
-    Lines of fewer than `min_words` words, but one, are short lines; null and empty
-    texts have none.  Of repeated rows the first keeps its paragraphs.
+    A text of fewer than LEAST_WORDS words is one paragraph; paragraphs and lines of
+    fewer words than a shingle are compared by equality.  Null and empty texts, and
+    those without words, have none.  Of repeated rows the first keeps its paragraphs.
     """
-    listed, plan = _plan(docs, id_col, text_col, similarity, min_words)
-    count = lambda on: F.count_if(on).alias
-    gone = ~F.col("stays")
+    listed, plan = _plan(docs, id_col, text_col, similarity)
     sums = plan.groupBy("uid").agg(
-        count(~F.col("short"))("k"), count(~F.col("short") & gone)("r"), count(F.col("short"))("sk"), count(F.col("short") & gone)("sr"), F.min(F.when(~F.col("short"), F.col("partner"))).alias("first_with"), F.min("partner").alias("any_with")
+        *(F.count_if((F.col("k") == k) & some).alias(f"{name}{k}") for k in (RUN, LINE) for name, some in (("linked", F.lit(True)), ("gone", ~F.col("stays")))),
+        F.min(F.when(F.col("k") == RUN, F.col("partner"))).alias("first_with"),
     )
-    out = listed.join(sums, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return out.select(
-        F.col("id").alias(id_col), F.size("own").cast("long").alias("n_paragraphs"), zero("k").alias("n_linked"), zero("r").alias("n_removed"), F.coalesce("first_with", "any_with").alias("first_with"),
-        F.size("short").cast("long").alias("n_short"), zero("sk").alias("n_short_linked"), zero("sr").alias("n_short_removed"),
+    return listed.join(sums, "uid", "left").select(
+        F.col("id").alias(id_col), F.col("n_run").alias("n_paragraphs"), zero("linked0").alias("n_linked"), zero("gone0").alias("n_removed"), "first_with",
+        F.col("n_line").alias("n_lines"), zero("linked1").alias("n_lines_linked"), zero("gone1").alias("n_lines_removed"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the paragraphs and short lines that are not the first of their component or equal lines; lines without words stay as they are.  Repeated rows are treated alike, as the first of them."""
-    listed, plan = _plan(docs, id_col, text_col, similarity, min_words)
-    gone = plan.where("not stays").join(listed.select("uid", "id", "th"), "uid").groupBy("id", "th", "uid").agg(F.collect_set("i").alias("lines"))
-    gone = gone.groupBy("id", "th").agg(F.min(F.struct(F.size("lines"), "lines")).alias("x"), F.count(F.lit(1)).alias("n")).select("id", "th", F.col("x.lines").alias("__gone")).alias("g")
-    d = docs.withColumn("__th", F.xxhash64(F.col(text_col))).alias("d")
-    joined = d.join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("d.__th") == F.col("g.th")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"d.{text_col}"), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_col}")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+def _without(part: pa.RecordBatch, p: Paragraphs, text_at: int, gone_at: int) -> pa.Array:
+    """The part's texts without the paragraphs and lines that its column of (kind, index) lists."""
+    texts = part.column(text_at).to_pylist()
+    wanted = part.column(gone_at).to_pylist()
+    where: dict[tuple[int, int, int], int] = {}
+    some = np.isin(p.text, np.array([k for k, w in enumerate(wanted) if w], np.int64))
+    for k in np.flatnonzero(some).tolist():
+        where[int(p.text[k]), int(p.kind[k]), int(p.index[k])] = k
+    for t, w in enumerate(wanted):
+        if not w:
+            continue
+        raw = texts[t].encode()
+        drop = np.zeros(len(raw) + 1, np.int32)
+        for x in w:
+            a, z = p.span(where[t, x["k"], x["i"]])
+            if x["k"] == LINE:
+                a, z = raw.rfind(b"\n", 0, a) + 1, raw.find(b"\n", z) + 1
+                if not z:  # the last line takes the break before it
+                    a, z = max(a - 1, 0), len(raw)
+            drop[a] += 1
+            drop[z] -= 1
+        keep = np.cumsum(drop[:-1]) == 0
+        texts[t] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "replace")
+    return pa.array(texts, part.column(text_at).type)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the paragraphs and lines that are not the first of their component; columns as given.
+
+    A word goes if a paragraph that goes covers it, from its first byte to its last
+    word's last; so a passage loses its paragraphs, and up to its edges a few words
+    beyond them stay.  Repeated rows are treated alike, as the first of them.
+    """
+    listed, plan = _plan(docs, id_col, text_col, similarity)
+    gone = plan.where("not stays").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("k", "i"))).alias("g"))
+    # of rows with one id and text the one that loses least stands for all
+    rows = listed.join(gone, "uid", "left").groupBy("id", "th").agg(F.min(F.struct(F.coalesce(F.size("g"), F.lit(0)).alias("n"), "g")).alias("x"))
+    gone = checkpoint(rows.where("x.n > 0").select("id", "th", F.col("x.g").alias("__gone")))
+    found = sieve(gone, "th")
+    marked = docs.withColumn("__th", F.xxhash64(F.col(text_col)))
+    columns = docs.columns
+    at = len(columns)
+
+    def split(wanted: bool):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                yield part.filter(pa.array(passes(found, part.column(at).to_numpy().view(np.uint64)) == wanted))
+
+        return run
+
+    d, g = marked.mapInArrow(split(True), marked.schema).alias("d"), gone.alias("g")
+    joined = d.join(g, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")) & (F.col("d.__th") == F.col("g.th")), "left").select(*[F.col(f"d.`{c}`") for c in columns], F.col("g.__gone"))
+
+    def cut(part: pa.RecordBatch, p: Paragraphs) -> pa.RecordBatch:
+        k = part.schema.get_field_index(text_col)
+        new = _without(part, p, k, at)
+        return pa.RecordBatch.from_arrays([new if i == k else part.column(i) for i in range(at)], names=columns)
+
+    return joined.mapInArrow(_each(cut, text_col), docs.schema).unionByName(marked.mapInArrow(split(False), marked.schema).select(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobledger.runtime import bound_batches
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only where the session names no spark.checkpoint.dir and runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/jobledger"
 
 
@@ -18,12 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; on one machine without such a setting a folder of its own, on a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_CHECKPOINTS
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; a local one only where the session names none."""
+    """Reliable checkpoint in the shared folder."""
     bound_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -61,36 +71,64 @@ def in_units(members: DataFrame, key: str, order: list[str], most: int, unit: st
     return dealt.repartition(partitions(spark), unit).sortWithinPartitions(unit, key, *order)
 
 
-#: A sieve has 2**SIEVE_BITS bits (4 MB), whatever the data.
-SIEVE_BITS = 25
-_AWAY = 64 - SIEVE_BITS
+#: Rows of one key beyond which its partner in a join is broadcast instead of shuffling the rows to one task; of n rows at most n / HOT_ROWS keys have so many, and the limit grows where that would be more than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 500, 20_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right on `key`, which is unique in `right` and not null in `left`; both are read twice, so they should be checkpoints or cheap.
+
+    Rows of keys that are hot on the left meet a broadcast row where they are; HOT_KEYS
+    bounds how many rows are broadcast, whatever the data.  All other rows are shuffled.
+    """
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    limit = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = checkpoint(sizes.where(F.col("__n") > limit).select(key))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    apart = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key, how).unionByName(apart)
+
+
+#: A sieve has 8 to 16 bits for each counted key, and 2**MOST_BITS (32 MB) at most.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
-def sieve(keys: DataFrame, *columns: str) -> bytes:
-    """A bitmap of fixed size (a Bloom filter with two probes) of the keys' hashes; a single long column must be well mixed itself.
+def sieve(keys: DataFrame, *columns: str) -> bytes | None:
+    """A bitmap (a Bloom filter with two probes) of the keys' hashes, sized by their number; a single long column must be well mixed itself.
 
-    It lets every key pass that is there, and some others; a fuller one lets more
-    pass and never loses any.
+    It lets every key pass that is there, and a few others.  None, which lets all
+    pass, where the keys are too many for the largest bitmap: the caller's join
+    with the exact keys then does what the sieve would have spared it.
     """
     import numpy as np
 
+    n = keys.count()
+    bits = max(LEAST_BITS, (8 * n).bit_length())
+    if bits > MOST_BITS:
+        return None
     key = F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
-    probes = F.array(F.shiftrightunsigned(key, _AWAY), F.shiftrightunsigned(F.shiftleft(key, SIEVE_BITS), _AWAY))
-    bits = keys.select(F.explode(probes).alias("b"))
-    rows = bits.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    got = rows.toPandas()  # 2**SIEVE_BITS / 64 rows at most
-    out = np.zeros((1 << SIEVE_BITS) // 64, np.int64)
+    probes = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(F.shiftleft(key, bits), 64 - bits))
+    each = keys.select(F.explode(probes).alias("b"))
+    rows = each.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    got = rows.toPandas()  # 2**MOST_BITS / 64 rows at most
+    out = np.zeros((1 << bits) // 64, np.int64)
     out[got["w"].to_numpy()] = got["v"].to_numpy()
     return out.tobytes()
 
 
-def passes(table: bytes, keys) -> object:
+def passes(table: bytes | None, keys) -> object:
     """Which unsigned 64-bit keys the sieve lets pass."""
     import numpy as np
 
-    words, away = np.frombuffer(table, np.uint64), np.uint64(_AWAY)
     out = np.ones(len(keys), bool)
-    for b in (keys >> away, (keys << np.uint64(SIEVE_BITS)) >> away):
+    if table is None:
+        return out
+    words = np.frombuffer(table, np.uint64)
+    bits = (len(words) * 64).bit_length() - 1
+    away = np.uint64(64 - bits)
+    for b in (keys >> away, (keys << np.uint64(bits)) >> away):
         out &= (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
     return out
 
