@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobledger.llm import decontaminate, linededup, mixing, simhash, toxicity
 from jobledger.llm.queries import LEVELS, WEIGHTS
-from jobledger.llm.tables import LOCAL_CHECKPOINTS, table
+from jobledger.llm.tables import shared_folder, table
 
 
 def _count_again(docs: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
