@@ -5,15 +5,15 @@ pair with the next has the least hash among its REACH neighbours on either side,
 and a paragraph runs from one cut to the first other cut LEAST_WORDS or more behind
 it.  So paragraphs overlap, every word is in one, and a passage that texts share
 has the same paragraphs in each, wherever it stands and however it is wrapped.
-Lines are compared beside them, by themselves.
+Lines are compared beside them, by equality of their words.
 
 Equal paragraphs (after normalisation) are one from the start.  Signatures of
 ROWS x BANDS minima over 5-word shingles put a pair of similarity 0.8 into one
-bucket of some band with probability 0.994; paragraphs that share a bucket are
+bucket of some band with probability 0.991; paragraphs that share a bucket are
 verified by the exact Jaccard similarity of their shingles, and verified links give
 components.  The first paragraph of a component stays; the others go.
 
-Bucket keys travel packed, 12 bytes for a band, to find the buckets in which
+Bucket keys travel packed, KEY + OWNER bytes for a band, to find the buckets in which
 different paragraphs meet; only paragraphs of these travel with their shingles.
 Buckets too large for a task are verified in pairs of blocks, so that every
 colliding pair is compared whatever the sizes.
@@ -34,7 +34,7 @@ from jobledger.llm.tables import checkpoint, in_units, join_unique, partitions,
 from jobledger.llm.textkit import _INV, _POW, batches, column_bytes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 5, 2, 42
+BANDS, ROWS, SEED = 9, 4, 42
 #: Neighbours that a cut's hash is held against, and words that a paragraph has at least.
 REACH, LEAST_WORDS = 5, 20
 #: Words without a cut beyond which cuts are made every STRIDE words.
@@ -44,7 +44,8 @@ RUN, LINE = 0, 1
 UNIT = 4096
 #: Paragraphs whose keys a task packs at once.
 PACKED = 1 << 17
-_HIGH48 = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bytes of a bucket key behind the bits of its unit, of a name beside it (which tells names of one bucket apart), and of a shingle.
+KEY, OWNER, GRAM = 5, 4, 5
 
 
 def cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def lines(buf: np.ndarray, offs: np.ndarray, s: np.ndarray) -> tuple[np.ndarray,
 
 
 class Paragraphs:
-    """Paragraphs of both kinds of all texts of a batch: text, kind, index within the text and kind, begin and end in words, name (a hash of kind and words)."""
+    """Paragraphs and lines of all texts of a batch: text, kind, index within the text and kind, begin and end in words, name (a hash of kind and words)."""
 
     def __init__(self, column: pa.Array):
         self.buf, self.offs = column_bytes(column)
@@ -122,26 +123,40 @@ class Paragraphs:
             shingle[: n - SHINGLE + 1] = mix((total[SHINGLE:] - total[: n - SHINGLE + 1]) * _INV.upto(n + 1)[: n - SHINGLE + 1])
         self.shingle = shingle
 
+    def banded(self) -> np.ndarray:
+        """Paragraphs (not lines) with a shingle, one of each name, in order."""
+        some = np.flatnonzero((self.kind == RUN) & (self.size >= SHINGLE))
+        return some[np.sort(np.unique(self.name[some], return_index=True)[1])]
+
     def keys(self, pick: np.ndarray) -> np.ndarray:
-        """(paragraphs, BANDS) bucket keys, 48 bits each in the high bits, of paragraphs with a shingle."""
+        """(paragraphs, BANDS) bucket keys; `pick` in order."""
         out = np.zeros((len(pick), BANDS), np.uint64)
         if not len(pick):
             return out
-        a, z = self.begin[pick], self.end[pick] - SHINGLE + 1
-        ranges = np.stack([a, z], axis=1).reshape(-1)
+        ranges = np.stack([self.begin[pick], self.end[pick] - SHINGLE + 1], axis=1).reshape(-1)
         rng = np.random.default_rng(SEED)
         for b in range(BANDS):
-            key = self.kind[pick].astype(np.uint64) * np.uint64(BANDS) + np.uint64(b)
+            key = np.full(len(pick), b, np.uint64)
             for _ in range(ROWS):
                 odd, c = rng.integers(1, 1 << 63, 2, np.uint64)
                 x = (self.shingle ^ c) * (odd | np.uint64(1))
                 key = mix(key + np.minimum.reduceat(x ^ (x >> np.uint64(32)), ranges)[::2])
-            out[:, b] = key & _HIGH48
+            out[:, b] = key
         return out
 
-    def set(self, k: int) -> bytes:
-        """Sorted distinct shingles of paragraph k."""
-        return np.unique(self.shingle[self.begin[k] : self.end[k] - SHINGLE + 1]).astype("<u8").tobytes()
+    def sets(self, pick: np.ndarray) -> pa.Array:
+        """Sorted distinct shingles of paragraphs, GRAM bytes each."""
+        size = self.end[pick] - self.begin[pick] - SHINGLE + 1
+        owner = np.repeat(np.arange(len(pick)), size)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[pick], size)
+        value = self.shingle[at] >> np.uint64(64 - 8 * GRAM)
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        once = np.ones(len(value), bool)
+        once[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        offsets = np.searchsorted(owner[once], np.arange(len(pick) + 1)).astype(np.int32) * np.int32(GRAM)
+        data = _bytes(value[once], GRAM).tobytes()
+        return pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
     def span(self, k: int) -> tuple[int, int]:
         """Bytes of a paragraph, or of a line with its break, within its text."""
@@ -163,31 +178,39 @@ def _each(make: Callable[[pa.RecordBatch, Paragraphs], pa.RecordBatch | None], c
     return run
 
 
-def _low(x: np.ndarray, n: int) -> np.ndarray:
-    """The n high bytes of each unsigned 64-bit number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :]
+def _bytes(x: np.ndarray, n: int) -> np.ndarray:
+    """(numbers, n): the n low bytes of each unsigned 64-bit number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n])
 
 
-def _high(x: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(x) // n, 8), np.uint8)
-    out[:, 8 - n :] = x.reshape(-1, n)
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """The numbers of (numbers, n) low bytes."""
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
     return out.view("<u8").reshape(-1)
 
 
-def _packed(shards: int):
-    """(unit, keys, names): bucket keys with the high bits of names, 12 bytes each, and names (twice if they occur again), dealt to units by the keys' and names' high bits."""
-    away = np.uint64(64 - (shards.bit_length() - 1))
+def _short(key: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of which only what travels is left: the `bits` of the unit and KEY bytes behind them, as high bits."""
+    away = np.uint64(max(0, 64 - bits - 8 * KEY))
+    return key >> away << away
+
+
+def _packed(bits: int):
+    """(unit, keys, names): bucket keys with parts of names, and names (twice if they occur again), dealt to 2**bits units by their high bits."""
 
     def flush(name: list[np.ndarray], key: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
         names, times = np.unique(np.concatenate(name), return_counts=True)
         names = np.repeat(names, np.minimum(times, 2))
         k, p = np.concatenate(key), np.concatenate(owner)
-        _, once = np.unique(p, return_index=True)
+        once = np.unique(p, return_index=True)[1]
         k, p = k[once].reshape(-1), np.repeat(p[once], BANDS)
         order = np.argsort(k)
         k, p = k[order], p[order]
-        both = np.ascontiguousarray(np.concatenate([_low(k, 6), _low(p, 6)], axis=1))
-        grid = np.arange(shards, dtype=np.uint64) << away
+        away = np.uint64(64 - bits)
+        below = (k << np.uint64(bits)) >> np.uint64(64 - 8 * KEY)
+        both = np.concatenate([_bytes(below, KEY), _bytes(p, OWNER)], axis=1)
+        grid = np.arange(1 << bits, dtype=np.uint64) << away
         cut, ncut = (np.append(np.searchsorted(x, grid), len(x)) for x in (k, names))
         full = np.flatnonzero((np.diff(cut) > 0) | (np.diff(ncut) > 0))
         packed = [both[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()]
@@ -200,9 +223,7 @@ def _packed(shards: int):
         for whole in parts:
             for part in batches(whole, "__text"):
                 p = Paragraphs(part.column(0))
-                banded = np.flatnonzero(p.size >= SHINGLE)
-                _, once = np.unique(p.name[banded], return_index=True)
-                banded = banded[once]
+                banded = p.banded()
                 for x, y in zip(held, (p.name, p.keys(banded), p.name[banded]), strict=True):
                     x.append(y)
                 rows += len(p.name)
@@ -215,17 +236,26 @@ def _packed(shards: int):
     return run
 
 
-def _met(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(bits: int):
     """(named, k): bucket keys in which different names meet, and names that occur again."""
-    for t in whole_units(parts, 64):
-        raw = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint8).reshape(-1, 12)
-        k, p = _high(np.ascontiguousarray(raw[:, :6]).reshape(-1), 6), _high(np.ascontiguousarray(raw[:, 6:]).reshape(-1), 6)
-        order = np.lexsort((p, k))
-        k, p = k[order], p[order]
-        keys = np.unique(k[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])])
-        names = np.sort(np.frombuffer(b"".join(t["names"].to_pylist()), "<u8"))
-        names = np.unique(names[1:][names[1:] == names[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [len(keys), len(names)])), pa.array(np.concatenate([keys, names]).view(np.int64))], names=["named", "k"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_units(parts, 64):
+            size = [len(x) // (KEY + OWNER) for x in t["keys"].to_pylist()]
+            unit = np.repeat(t["unit"].to_numpy().astype(np.uint64), size) << np.uint64(64 - bits)
+            raw = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint8).reshape(-1, KEY + OWNER)
+            k = unit | (_numbers(raw[:, :KEY]) << np.uint64(64 - 8 * KEY)) >> np.uint64(bits)
+            k, p = _short(k, bits), _numbers(raw[:, KEY:])
+            order = np.argsort(k)
+            k, p = k[order], p[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+            keys = k[first][np.minimum.reduceat(p, first) != np.maximum.reduceat(p, first)] if len(k) else k
+            names = np.sort(np.frombuffer(b"".join(t["names"].to_pylist()), "<u8"))
+            names = names[1:][names[1:] == names[:-1]]
+            names = names[np.r_[True, names[1:] != names[:-1]][: len(names)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [len(keys), len(names)])), pa.array(np.concatenate([keys, names]).view(np.int64))], names=["named", "k"])
+
+    return run
 
 
 def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -265,7 +295,7 @@ def _verified(similarity: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_units(parts, 4000):
             unit, p = t["unit"].to_numpy(), t["p"].to_numpy()
-            sets = [np.frombuffer(x, "<u8") for x in t["s"].to_pylist()]
+            sets = [_numbers(np.frombuffer(x, np.uint8).reshape(-1, GRAM)) for x in t["s"].to_pylist()]
             starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
             a, b = [], []
             for x, z in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True):
@@ -286,26 +316,23 @@ def _verified(similarity: float):
 
 
 def paragraph_roots(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(roots: node, root over names of paragraphs that link with a different one; again: names that occur more than once, as p)."""
-    spark = texts.sparkSession
-    shards = 1 << (4 * partitions(spark) - 1).bit_length()
-    packed = texts.mapInArrow(_packed(shards), "unit int, keys binary, names binary")
-    met = checkpoint(packed.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_met, "named boolean, k long"))
+    """(roots: node, root over names of paragraphs that link with a different one, but the roots themselves; again: names that occur more than once, as p)."""
+    n = partitions(texts.sparkSession)
+    bits = (4 * n - 1).bit_length()
+    packed = texts.mapInArrow(_packed(bits), "unit int, keys binary, names binary")
+    met = checkpoint(packed.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_met(bits), "named boolean, k long"))
     again = met.where("named").select(F.col("k").alias("p"))
     crowded = met.where("not named").select(F.col("k").alias("key"))
     table = sieve(crowded, "key")
 
     def members(part: pa.RecordBatch, p: Paragraphs) -> pa.RecordBatch:
-        banded = np.flatnonzero(p.size >= SHINGLE)
-        _, once = np.unique(p.name[banded], return_index=True)
-        banded = banded[once]
-        keys = p.keys(banded)
+        pick = p.banded()
+        keys = _short(p.keys(pick), bits)
         good = passes(table, keys.reshape(-1)).reshape(keys.shape)
         some = good.any(axis=1)
-        banded, keys, good = banded[some], keys[some], good[some]
-        sets = pa.array([p.set(k) for k in banded.tolist()], pa.binary())
+        pick, keys, good = pick[some], keys[some], good[some]
         offsets = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(p.name[banded].view(np.int64)), sets, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[good].view(np.int64)))], names=["p", "s", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(p.name[pick].view(np.int64)), p.sets(pick), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[good].view(np.int64)))], names=["p", "s", "keys"])
 
     found = texts.mapInArrow(_each(members), "p long, s binary, keys array<long>").groupBy("p").agg(F.first("s").alias("s"), F.first("keys").alias("keys"))
     dealt = checkpoint(found.select("p", "s", F.explode("keys").alias("key")).join(crowded, "key", "left_semi"))
@@ -317,7 +344,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tup
     """(listed: uid, id, th, n_run, n_line, own; plan: uid, kind, i, stays, partner for paragraphs and lines with a partner)."""
     few = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("__text"))
     roots, again = paragraph_roots(few.select("__text").where("__text is not null"), similarity)
-    table = sieve(again.unionByName(roots.select(F.col("node").alias("p"))), "p")
+    ends = roots.select(F.explode(F.array("node", "root")).alias("p"))
+    table = sieve(checkpoint(again.unionByName(ends).distinct()), "p")
 
     def own(part: pa.RecordBatch, p: Paragraphs) -> pa.RecordBatch:
         n = part.num_rows
@@ -345,8 +373,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tup
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id, n_paragraphs, n_linked (with an equal or similar paragraph anywhere else), n_removed (not the first of their component), first_with (smallest id that holds the first of any of them), and the same counts of lines with a word: n_lines, n_lines_linked, n_lines_removed.
 
-    A text of fewer than LEAST_WORDS words is one paragraph; paragraphs and lines of
-    fewer words than a shingle are compared by equality.  Null and empty texts, and
+    A text of fewer than LEAST_WORDS words is one paragraph; paragraphs of fewer
+    words than a shingle, and all lines, are compared by equality.  Null and empty texts, and
     those without words, have none.  Of repeated rows the first keeps its paragraphs.
     """
     listed, plan = _plan(docs, id_col, text_col, similarity)
