@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def empty(spark):
 
 def test_token_counts_are_the_librarys(spark, docs, corpus):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    library = tokencount.counter(model).library
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
     got = tokencount.count_tokens(docs, model).collect()
     assert len(got) == docs.count()
     by_text = {r.doc_id: r for r in got if r.doc_id is not None}
@@ -59,13 +60,49 @@ def test_token_counts_are_the_librarys(spark, docs, corpus):
 @pytest.mark.parametrize("text", ["Hello  world", " lead", "tail  ", "über\n\nнадо 12345 <s> </s>", "▁mark▁ x", "日本語 テキスト", "\n", "á \x00b\x7f", "it's 3.14!\r\n\tok", "🙂🙂 x"])
 def test_token_counts_at_every_prefix(text):
     count = tokencount.counter(public_tokenizers.path("piece_bpe_32k.model"))
-    expected = [len(count.library.encode(text[:k])) for k in range(len(text) + 1)]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expected = [len(library.encode(text[:k])) for k in range(len(text) + 1)]
     assert count.prefix_counts(text).tolist() == expected
     assert count.count(text) == expected[-1]
     cut = count.truncate(text, 3)
     assert len(cut) == max(k for k, n in enumerate(expected) if n <= 3)
 
 
+def test_the_program_alone_gives_the_librarys_counts_on_whole_tables(spark, monkeypatch):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    for name, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        texts = [r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(column).collect()]
+        count = tokencount.PrefixCounter(model)
+        monkeypatch.setattr(tokencount, "CACHED_WORDS", 5000)  # so that generations change
+        assert not hasattr(count, "library")
+        count.learn([t for t in texts[::2] if t])
+        assert [count.count(t or "") for t in texts] == [len(x) for x in library.encode([t or "" for t in texts])]
+
+
+def test_models_that_the_program_does_not_fit_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+
+    def refused(change):
+        other = pb.ModelProto()
+        other.CopyFrom(proto)
+        change(other)
+        (tmp_path / "m").write_bytes(other.SerializeToString())
+        with pytest.raises(ValueError):
+            tokencount.PrefixCounter(str(tmp_path / "m"))
+
+    kinds = pb.ModelProto.SentencePiece
+    refused(lambda m: m.pieces.add(piece="<mine>", score=0, type=kinds.USER_DEFINED))
+    refused(lambda m: m.pieces.remove(next(p for p in m.pieces if p.type == kinds.BYTE)))
+    refused(lambda m: m.pieces.add(piece="a\u2581b", score=0, type=kinds.NORMAL))
+    refused(lambda m: m.pieces.add(piece="a\U0001f9ff", score=0, type=kinds.NORMAL))
+    refused(lambda m: setattr(m.trainer_spec, "model_type", pb.TrainerSpec.UNIGRAM))
+    refused(lambda m: setattr(m.normalizer_spec, "name", "nmt_nfkc"))
+
+
 def test_truncation_keeps_null_and_short(spark):
     df = spark.createDataFrame([(1, None), (2, "one two three four five six")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in tokencount.truncate_to_budget(df, public_tokenizers.path("piece_bpe_32k.model"), 3).collect()}
