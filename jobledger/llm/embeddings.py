@@ -1,14 +1,17 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
 Vectors are normalised, turned by one seeded rotation and split into blocks.  A
-cosine of t means a squared distance of 2 - 2t, so two such vectors are within
+cosine of c means a squared distance of 2 - 2c, so two such vectors are within
 their block's proportional part of that budget in one block at least.  Each block
-is joined by range: its leading coordinate is cut into cells as wide as the
-block's radius, a vector meets its own and the next cell, and block distances are
-compared there.  Survivors are verified exactly, in double precision.
-
-A pair counts in the first block that lets it pass only, so links are counted
-without being written out; tasks return sums and spanning links.
+is joined by range: vectors are sorted by its leading coordinate, and those no
+farther apart there than the block's radius are compared by their distance within
+the block.  The union of the survivors, a small part of all pairs, is verified
+exactly, in double precision.
+
+Each distinct vector of a label travels to one task; only labels of more than UNIT
+distinct vectors are dealt to several.  A pair counts in the first block that lets
+it pass only, so links are counted without being written out; tasks return sums
+and spanning links.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from jobledger.llm.components import components, label_components
 from jobledger.llm.simhash import whole_units
-from jobledger.llm.tables import checkpoint, in_units
+from jobledger.llm.tables import checkpoint, in_units, join_unique
 
 BLOCKS, SEED = 4, 42
 #: Distinct vectors that one task compares with each other at once.
-UNIT = 4096
-_SLACK = 1e-9
+UNIT = 16384
+#: Allowance for rounding of block distances, in double precision and in the single precision of the range join.
+_SLACK, _SINGLE = 1e-9, 1e-5
+#: Distances of a range join that are held at once.
+TILE = 1 << 22
 
 
 def rotation(d: int) -> np.ndarray:
@@ -46,29 +52,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _dealt(threshold: float):
-    """(key, vec, size, v) for each block and for the two cell pairs that a vector's cell is in."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for part in parts:
-            sizes = np.diff(np.asarray(part.column(3).offsets))
-            for d in np.unique(sizes):
-                some = part.filter(pa.array(sizes == d))
-                label = some.column(0).to_pylist()
-                x = _matrix(some.column(3))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(int(d))
-                cuts = edges(int(d))
-                for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    width = np.sqrt((2 - 2 * threshold) * (z - a) / d) + 1e-6
-                    cell = np.floor(x[:, a] / width).astype(np.int64)
-                    for back in (0, 1):
-                        key = [xxhash.xxh64_intdigest(f"{k} {d} {b} {c - back}") - (1 << 63) for k, c in zip(label, cell.tolist(), strict=True)]
-                        n = some.num_rows
-                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, back, np.int32)), some.column(1), some.column(2), some.column(3)], names=["key", "block", "back", "vec", "size", "v"])
-
-    return run
+def survivors(x: np.ndarray, cuts: np.ndarray, limit: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rotated unit vectors within the limit of some block, each in the first such block only; of different parts where they have parts (part above 0)."""
+    for own, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        order = np.argsort(x[:, a], kind="stable")
+        y = np.ascontiguousarray(x[order, a:z], np.float32)
+        sq = (y * y).sum(axis=1)
+        lead = x[order, a]
+        reach = np.searchsorted(lead, lead + np.sqrt(limit[own]) + _SINGLE, "right")
+        at = 0
+        while at < len(y):
+            to = min(len(y), at + max(1, TILE // max(1, int(reach[min(len(y) - 1, at + 511)]) - at)), at + 512)
+            end = int(reach[to - 1])
+            far = sq[at:to, None] + sq[None, at:end] - 2 * (y[at:to] @ y[at:end].T)
+            i, j = np.nonzero(far <= limit[own] + _SINGLE)
+            later = i < j
+            p, q = order[at + i[later]], order[at + j[later]]
+            good = (part[p] == 0) | (part[p] != part[q])
+            p, q = p[good], q[good]
+            for k in range(0, len(p), 1 << 16):
+                u, v = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                passed = np.add.reduceat((x[u] - x[v]) ** 2, cuts[:-1], axis=1) <= limit
+                first = passed[:, own] & ~passed[:, :own].any(axis=1)
+                yield u[first], v[first]
+            at = to
 
 
 def _joined(threshold: float):
@@ -90,29 +97,14 @@ def _unit(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     x = raw / norm[:, None] @ rotation(d)
     cuts = edges(d)
     limit = (2 - 2 * threshold) * np.diff(cuts) / d + _SLACK
-    own = int(t["block"][0].as_py())
-    y = np.ascontiguousarray(x[:, cuts[own] : cuts[own + 1]])
-    sq = (y * y).sum(axis=1)
-    back, part, size, vec = t["back"].to_numpy(), t["part"].to_numpy(), t["size"].to_numpy(), t["vec"].to_numpy()
+    part, size, vec = t["part"].to_numpy(), t["size"].to_numpy(), t["vec"].to_numpy()
     links, label = np.zeros(len(raw), np.int64), np.arange(len(raw))
-    for at in range(0, len(raw), 512):
-        to = min(at + 512, len(raw))
-        near = sq[at:to, None] + sq[None, :to] - 2 * (y[at:to] @ y[:to].T) <= limit[own] + 1e-7
-        i, j = np.nonzero(near)
-        i += at
-        # each pair once: not both from the next cell (they meet there as well), and of different parts where a unit has parts
-        good = (j < i) & ((back[i] == 0) | (back[j] == 0)) & ((part[i] == 0) | (part[i] != part[j]))
-        i, j = i[good], j[good]
-        for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            passed = np.add.reduceat((x[p] - x[q]) ** 2, cuts[:-1], axis=1) <= limit
-            first = passed[:, own] & ~passed[:, :own].any(axis=1)
-            p, q = p[first], q[first]
-            same = (raw[p] * raw[q]).sum(axis=1) / (norm[p] * norm[q]) >= threshold
-            p, q = p[same], q[same]
-            np.add.at(links, p, size[q])
-            np.add.at(links, q, size[p])
-            label = label_components(len(raw), p, q, label)
+    for p, q in survivors(x, cuts, limit, part):
+        same = (raw[p] * raw[q]).sum(axis=1) / (norm[p] * norm[q]) >= threshold
+        p, q = p[same], q[same]
+        np.add.at(links, p, size[q])
+        np.add.at(links, q, size[p])
+        label = label_components(len(raw), p, q, label)
     used = np.flatnonzero(links)
     yield pa.RecordBatch.from_arrays([pa.array(vec[used]), pa.array(links[used]), pa.array(vec[label[used]])], names=["vec", "n", "root"])
 
@@ -123,23 +115,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     Vectors are compared only within a label and with vectors as long as they are.
     Null, zero or empty vectors, those with null or non-finite components and those
     with a null label link with nothing.  Equal vectors are compared once and
-    counted as many times as they occur; repeated rows link with each other.
+    counted as many times as they occur; repeated rows link with each other, and
+    so do rows of one id with different vectors if these are near.  A vector with a
+    null id links like any other, never names a component that has an id, and is
+    not kept.  No rows in, none out.
     """
     v, n = F.col(vector_col), F.col(label_col)
     odd = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     length = F.aggregate(v, F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
     sound = F.coalesce(n.isNotNull() & v.isNotNull() & ~odd & (length > 0), F.lit(False))
-    base = vectors.select(id_col, n.alias("__label"), v.alias("__v"), sound.alias("__sound"), F.col(id_col).alias("__id"))
-    classes = base.where("__sound").groupBy("__label", "__v").agg(F.min("__id").alias("vec"), F.count(F.lit(1)).alias("size"))
-    classes = checkpoint(classes.where("vec is not null"))
-    shape = f"key long, block int, back int, vec {classes.schema['vec'].dataType.simpleString()}, size long, v {classes.schema['__v'].dataType.simpleString()}"
-    dealt = in_units(classes.select("__label", "vec", "size", "__v").mapInArrow(_dealt(threshold), shape), "key", ["vec"], UNIT)
-    kind = classes.schema["vec"].dataType.simpleString()
-    found = checkpoint(dealt.select("unit", "part", "block", "back", "vec", "size", "v").mapInArrow(_joined(threshold), f"vec {kind}, n long, root {kind}"))
+    # 128 bits of hash name a label's vector, so that vectors travel once
+    name = F.when(sound, F.struct(F.xxhash64(n, v).alias("x"), F.xxhash64(F.reverse(v), n).alias("y")))
+    base = vectors.select(F.col(id_col).alias("id"), n.alias("label"), v.alias("v"), name.alias("name"))
+    rows = checkpoint(base.select("id", "name"))
+    classes = base.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.first("label").alias("label"))
+    classes = checkpoint(classes.withColumn("vec", F.monotonically_increasing_id()))
+    members = classes.select(F.xxhash64("label", F.size("v")).alias("key"), "vec", "size", "v")
+    dealt = in_units(members, "key", ["vec"], UNIT).select("unit", "part", "vec", "size", "v")
+    found = checkpoint(dealt.mapInArrow(_joined(threshold), "vec long, n long, root long"))
     roots = components(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy(F.col("vec").alias("__vec")).agg(F.sum("n").alias("__n"))
-    named = classes.join(sums, classes["vec"] == sums["__vec"], "left").join(roots, classes["vec"] == roots["node"], "left")
-    named = named.select(F.col("__label").alias("__l"), F.col("__v").alias("__w"), (F.coalesce("__n", F.lit(0)) + F.col("size") - 1).alias("__links"), F.coalesce("root", "vec").alias("__root"))
-    out = base.join(named, F.col("__sound") & (F.col("__label") == F.col("__l")) & (F.col("__v") == F.col("__w")), "left")
-    component = F.coalesce("__root", F.col(id_col))
-    return out.select(id_col, F.coalesce("__links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col(id_col) == component).alias("kept"))
+    sums = found.groupBy("vec").agg(F.sum("n").alias("n"))
+    rooted = classes.select("name", "vec", "least", "size").join(sums, "vec", "left").join(roots, F.col("vec") == F.col("node"), "left")
+    rooted = checkpoint(rooted.select("name", "least", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("root", "vec").alias("root")))
+    smallest = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    named = checkpoint(join_unique(rooted.select("name", "links", "root"), smallest, "root").select("name", "links", "component"))
+    linked = join_unique(rows.where("name is not null"), named, "name").select("id", "links", "component")
+    alone = rows.where("name is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

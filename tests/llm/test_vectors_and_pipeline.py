@@ -35,6 +35,27 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, d, unit):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids_of_embeddings(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [1.0, 0.1, 0.0]
+    rows = [(7, x, 1), (7, x, 1), (7, y, 1), (5, near, 1), (None, y, 1), (None, [0.0, 0.0, 1.0], 1), (None, None, 1), (9, x, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"name": F.lit("n"), "root": F.lit(3), "v": F.lit(1.5)})
+    got = sorted(map(str, embeddings.near_duplicates(df).collect()))
+    want = [(7, 2, 5, False), (7, 2, 5, False), (7, 1, 7, True), (5, 2, 5, True), (None, 1, 7, False), (None, 0, None, False), (None, 0, None, False), (9, 0, 9, True)]
+    assert got == sorted(f"Row(vec_id={a}, n_links={b}, component_id={c}, kept={d})" for a, b, c, d in want)
+
+
+def test_the_pigeonhole_join_verifies_a_small_part_of_all_pairs_and_loses_none():
+    x = vectors(2000, 64, 1).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cuts = embeddings.edges(64)
+    limit = (2 - 2 * 0.93) * np.diff(cuts) / 64 + 1e-9
+    pairs = {(min(p, q), max(p, q)) for u, v in embeddings.survivors(x @ embeddings.rotation(64), cuts, limit, np.zeros(len(x), int)) for p, q in zip(u.tolist(), v.tolist(), strict=True)}
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(i) > 500 and set(zip(i.tolist(), j.tolist(), strict=True)) <= pairs
+    assert len(pairs) < 0.005 * len(x) * (len(x) - 1) / 2
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (-5, 130), (130, 129)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
