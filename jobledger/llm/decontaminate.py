@@ -6,9 +6,11 @@ suffix that occurs in some item.  Where that reaches a window (`length` words, o
 a whole shorter item) the window's words are hit.  A bigram table first rules out
 stretches in which no window can lie, so that only short chains are walked.
 
-Benchmark words are counted before anything is collected: at most BLOCK_BYTES of
-item text make one automaton; a larger benchmark is taken in blocks of items, one
-pass each.
+The automaton is built once for each block of items, on the driver, and sent as
+sorted arrays; a task walks all its stretches through it in lockstep.  Benchmark
+text is measured before anything is collected: at most BLOCK_BYTES of it make one
+automaton, and a larger benchmark is taken in blocks of items, one pass each, of
+which MOST_BLOCKS at most are alive at once.
 """
 
 from __future__ import annotations
@@ -20,101 +22,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobledger.llm.tables import checkpoint
 from jobledger.llm.textkit import batches, column_bytes, words
 
-#: Item text of which one automaton is built and sent to executors.
-BLOCK_BYTES = 8 << 20
+#: Item text of which one automaton is built and sent to executors, and passes between two checkpoints.
+BLOCK_BYTES, MOST_BLOCKS = 2 << 20, 8
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer sequences, with the items in which each window occurs."""
+    """Generalised suffix automaton over integer sequences (words below `n_words`), as sorted arrays, with the items in which each window occurs."""
+
+    def __init__(self, items: list[list[int]], length: int, n_words: int):
+        self.n_words = max(1, n_words)
+        nxt: list[dict[int, int]] = [{}]
+        link, depth = [-1], [0]
+
+        def split(p: int, q: int, c: int) -> int:
+            clone = len(nxt)
+            nxt.append(dict(nxt[q]))
+            depth.append(depth[p] + 1)
+            link.append(link[q])
+            link[q] = clone
+            while p != -1 and nxt[p].get(c) == q:
+                nxt[p][c] = clone
+                p = link[p]
+            return clone
+
+        def extend(last: int, c: int) -> int:
+            q = nxt[last].get(c)
+            if q is not None:
+                return q if depth[q] == depth[last] + 1 else split(last, q, c)
+            cur = len(nxt)
+            nxt.append({})
+            depth.append(depth[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = nxt[p][c]
+                link[cur] = q if depth[q] == depth[p] + 1 else split(p, q, c)
+            return cur
 
-    def __init__(self, items: list[list[int]], length: int):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        self.length = length
         for item in items:
             last = 0
             for word in item:
-                last = self._extend(last, word)
-        #: (state, window length) -> items.
-        self.items: dict[tuple[int, int], set[int]] = {}
-        for k, item in enumerate(items):
-            n = min(length, len(item))
-            if n:
-                for _, state in self.matches(item, {n}):
-                    self.items.setdefault((state, n), set()).add(k)
-        self.sizes = {n for _, n in self.items}
-
-    def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        q = nxt[last].get(c)
-        if q is not None:
-            if length[q] == length[last] + 1:
-                return q
-            return self._split(last, q, c)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            link[cur] = q if length[q] == length[p] + 1 else self._split(p, q, c)
-        return cur
-
-    def _split(self, p: int, q: int, c: int) -> int:
-        clone = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.len.append(self.len[p] + 1)
-        self.link.append(self.link[q])
-        self.link[q] = clone
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def lengths(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
-        """(state, longest matching length) after each token; unknown tokens (below 0) match nothing."""
-        state = n = 0
-        nxt, link, length = self.next, self.link, self.len
-        for c in tokens:
-            while state and c not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
-                n += 1
-            else:
-                n = 0
-            yield state, n
-
-    def matches(self, tokens: list[int], sizes: set[int]) -> Iterator[tuple[int, int]]:
-        """(end, state holding the last n tokens) for each n of `sizes` that the match reaches."""
-        link, length = self.link, self.len
-        for at, (state, n) in enumerate(self.lengths(tokens)):
+                last = extend(last, word)
+        size = np.fromiter(map(len, nxt), np.int64, len(nxt))
+        state = np.repeat(np.arange(len(nxt)), size)
+        word = np.fromiter((c for d in nxt for c in d), np.int64, int(size.sum()))
+        goal = np.fromiter((q for d in nxt for q in d.values()), np.int64, int(size.sum()))
+        order = np.argsort(state * self.n_words + word)
+        #: Transitions by state * n_words + word.
+        self.edge, self.goal = (state * self.n_words + word)[order], goal[order].astype(np.int32)
+        self.link, self.depth = np.array(link, np.int32), np.array(depth, np.int32)
+        windows = [min(length, len(i)) for i in items]
+        self.sizes = sorted({n for n in windows if n})
+        #: For each window size the state that holds a state's last so many words.
+        self.holder = {n: self._holders(n) for n in self.sizes}
+        # items of each (window size, state)
+        flat = np.array([w for i in items for w in i], np.int64)
+        first = np.cumsum([0, *map(len, items)])
+        found = {n: ([], []) for n in self.sizes}
+        for n in self.sizes:
+            of = [k for k, w in enumerate(windows) if w == n]
+            tokens = np.concatenate([flat[first[k] : first[k + 1]] for k in of])
+            starts = np.cumsum([0, *(len(items[k]) for k in of)])
+            chain, _, states, _ = self.walk(tokens, starts[:-1], starts[1:], {n})
+            found[n] = np.unique(np.stack([states, np.array(of)[chain]], axis=1), axis=0).T
+        #: Sorted states with a window of each size, and the items of each.
+        self.states = {n: np.unique(found[n][0]) for n in self.sizes}
+        self.of = {n: (found[n][1], np.searchsorted(found[n][0], np.append(self.states[n], len(nxt)))) for n in self.sizes}
+
+    def _holders(self, n: int) -> np.ndarray:
+        out = np.arange(len(self.link))
+        for s in np.argsort(self.depth, kind="stable").tolist():
+            up = self.link[s]
+            if up >= 0 and self.depth[up] >= n:
+                out[s] = out[up]
+        return out
+
+    def walk(self, tokens: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: set[int]) -> tuple[np.ndarray, ...]:
+        """Streams tokens[start:end] of every chain through the automaton at once; unknown tokens (below 0) match nothing.
+
+        Wherever the longest matching length reaches one of `sizes`: (chain, end of
+        the window in tokens, state that holds the window, its size), one entry each.
+        """
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+        live = np.argsort(start - end, kind="stable")
+        span = (end - start)[live]
+        state, n = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        for step in range(int(span[0]) if len(span) else 0):
+            k = int(np.searchsorted(-span, -step, "left"))  # the chains still longer than this
+            live, span, state, n = live[:k], span[:k], state[:k], n[:k]
+            c = tokens[start[live] + step]
+            open_ = np.arange(k)
+            while len(open_):
+                key = state[open_] * self.n_words + c[open_]
+                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                found = (self.edge[at] == key) & (c[open_] >= 0)
+                hit = open_[found]
+                state[hit] = self.goal[at[found]]
+                n[hit] += 1
+                open_, root = open_[~found], state[open_[~found]] == 0
+                n[open_[root]] = 0
+                open_ = open_[~root]
+                state[open_] = self.link[state[open_]]
+                n[open_] = self.depth[state[open_]]
             for want in sizes:
-                if n >= want:
-                    s = state
-                    while length[link[s]] >= want:
-                        s = link[s]
-                    yield at + 1, s
-
-    def hits(self, tokens: list[int]) -> Iterator[tuple[int, int, set[int]]]:
-        """(start, end, items) of every window occurrence."""
-        link, length = self.link, self.len
-        for at, (state, n) in enumerate(self.lengths(tokens)):
-            for want in self.sizes:
-                if n >= want:
-                    s = state
-                    while length[link[s]] >= want:
-                        s = link[s]
-                    found = self.items.get((s, want))
-                    if found:
-                        yield at + 1 - want, at + 1, found
+                reached = np.flatnonzero(n >= want)
+                if len(reached):
+                    out.append((live[reached], start[live[reached]] + step + 1, self.holder[want][state[reached]], want))
+        if not out:
+            nothing = np.zeros(0, np.int64)
+            return nothing, nothing, nothing, nothing
+        return (*(np.concatenate([o[i] for o in out]) for i in range(3)), np.repeat([o[3] for o in out], [len(o[0]) for o in out]))
+
+    def hits(self, tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(chain, start, end, items) of every window occurrence."""
+        chain, stop, state, size = self.walk(tokens, start, end, set(self.sizes))
+        for n in self.sizes:
+            some = np.flatnonzero(size == n)
+            at = np.searchsorted(self.states[n], state[some])
+            at[at == len(self.states[n])] = 0
+            good = self.states[n][at] == state[some]
+            items, first = self.of[n]
+            for k, x in zip(some[good].tolist(), at[good].tolist(), strict=True):
+                yield int(chain[k]), int(stop[k]) - n, int(stop[k]), items[first[x] : first[x + 1]]
 
 
 class Matcher:
@@ -128,7 +163,7 @@ class Matcher:
         self.vocabulary = np.unique(h)
         ids = np.searchsorted(self.vocabulary, h)
         items = [ids[first[k] : first[k + 1]].tolist() for k in range(len(rows))]
-        self.automaton = SuffixAutomaton(items, length)
+        self.automaton = SuffixAutomaton(items, length, len(self.vocabulary))
         self.least = min((min(length, len(i)) for i in items if i), default=0)
         self.n = np.uint64(len(self.vocabulary) + 1)
         pairs = [ids[first[k] : first[k + 1]] for k in range(len(rows))]
@@ -144,10 +179,11 @@ class Matcher:
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == h, at, -1)
 
-    def chains(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def chains(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of word ranges that may hold a window: all adjacent pairs occur in items, long enough for the least window."""
         if not self.least or not len(ids):
-            return
+            nothing = np.zeros(0, np.int64)
+            return nothing, nothing, nothing
         known = ids >= 0
         tied = np.zeros(len(ids), bool)
         code = np.where(known[:-1] & known[1:], ids[:-1] * int(self.n) + ids[1:], -1).astype(np.int64)
@@ -161,8 +197,7 @@ class Matcher:
         cut = np.flatnonzero(~tied)
         ends = np.r_[cut[1:], len(ids)]
         good = known[cut] & (ends - cut >= self.least)
-        texts = np.searchsorted(first, cut[good], "right") - 1
-        yield from zip(texts.tolist(), cut[good].tolist(), ends[good].tolist(), strict=True)
+        return np.searchsorted(first, cut[good], "right") - 1, cut[good], ends[good]
 
     def scan(self, texts: pa.Array) -> tuple[list[list[tuple[int, int]]], list[set[int]], np.ndarray, tuple]:
         """For each text: merged hit ranges in words and items found; numbers of words; (starts, ends, first) of all words."""
@@ -171,15 +206,15 @@ class Matcher:
         ids = self.ids(h)
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
         items: list[set[int]] = [set() for _ in range(len(texts))]
-        for k, a, z in self.chains(ids, first):
-            tokens = ids[a:z].tolist()
-            for i, t in enumerate(tokens):  # hashes are held against the words themselves
-                if bytes(buf[s[a + i] : e[a + i]]).lower() != self.spelling[t]:
-                    tokens[i] = -1
-            for x, y, found in self.automaton.hits(tokens):
-                items[k] |= found
-                x, y = x + a - int(first[k]), y + a - int(first[k])
-                ranges[k].append((x, y))
+        of, start, end = self.chains(ids, first)
+        for a, z in zip(start.tolist(), end.tolist(), strict=True):  # hashes are held against the words themselves
+            for k in range(a, z):
+                if bytes(buf[s[k] : e[k]]).lower() != self.spelling[int(ids[k])]:
+                    ids[k] = -1
+        for chain, x, y, found in self.automaton.hits(ids, start, end):
+            k = int(of[chain])
+            items[k].update(found.tolist())
+            ranges[k].append((x - int(first[k]), y - int(first[k])))
         return [merged(r) for r in ranges], items, np.diff(first), (s, e, first)
 
 
@@ -214,13 +249,15 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
     shape = out.schema
     blocks = blocks_of(benchmark, item_col, item_text)
     following = next(blocks)
+    alive = []
     while following is not None:
-        sent = spark.sparkContext.broadcast(following)
+        sent = spark.sparkContext.broadcast(Matcher(following, length))
+        alive.append(sent)
         following = next(blocks, None)
         last = finish if following is None else None
 
         def run(parts: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, length)
+            matcher = sent.value
             for whole in parts:
                 for part in batches(whole, text_col):
                     at = part.schema.get_field_index
@@ -237,6 +274,11 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
                     yield pa.RecordBatch.from_arrays([*kept, *new], names=[*columns, "__n_words", "__spans", "__items"])
 
         out = out.mapInArrow(run, docs.schema if last else shape)
+        if len(alive) == MOST_BLOCKS and following is not None:
+            out = checkpoint(out)
+            for done in alive:
+                done.destroy()
+            alive = []
     return out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.llm.components import components, label_components
-from jobledger.llm.tables import checkpoint, in_units
+from jobledger.llm.tables import checkpoint, in_units, join_unique
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Distinct fingerprints that one task compares with each other at once.
@@ -232,29 +232,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = checkpoint(with_fingerprints(docs, [id_col], text_col))
     classes = checkpoint(found.groupBy("__fp").agg(F.min(id_col).alias("__least")))
     roots = fingerprint_roots(classes.select("__fp"), radius)
-    rooted = classes.join(roots, classes["__fp"] == roots["node"], "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    named = rooted.join(least, "root").select("__fp", "component_id")
-    return found.join(named, "__fp").select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = checkpoint(classes.join(roots, classes["__fp"] == roots["node"], "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("root")))
+    least = checkpoint(rooted.groupBy("root").agg(F.min("__least").alias("component_id")))
+    named = checkpoint(join_unique(rooted.select("__fp", "root"), least, "root").select("__fp", "component_id"))
+    return join_unique(found, named, "__fp").select(id_col, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """Documents without near duplicates: of each component the row with the smallest id (null last, then by text hash); repeated rows count once.  Columns as given."""
-    mark = F.xxhash64(F.col(text_col))
-    found = checkpoint(with_fingerprints(docs.withColumn("__th", mark), [id_col, "__th"], text_col))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__th").alias("th"))
+    """Documents without near duplicates: of each component the row with the smallest id (null last, then by hashes of text and row).
+
+    Columns as given.  Rows that are wholly equal count once; null and blank texts
+    have fingerprint 0 and are one group.  No rows in, none out.
+    """
+    marks = {"__th": F.xxhash64(F.col(text_col)), "__rh": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    found = checkpoint(with_fingerprints(docs.withColumns(marks), [id_col, "__th", "__rh"], text_col))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col("__rh").alias("rh"))
     classes = checkpoint(found.groupBy("__fp").agg(F.min(order).alias("__first")))
     roots = fingerprint_roots(classes.select("__fp"), radius)
     rooted = classes.join(roots, classes["__fp"] == roots["node"], "left").select(F.coalesce("root", "__fp").alias("root"), "__first")
-    chosen = rooted.groupBy("root").agg(F.min("__first").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.th").alias("__th"))
-    times = found.groupBy(F.col(id_col).alias("__id"), "__th").agg(F.count(F.lit(1)).alias("__times"))
-    chosen = checkpoint(_with_times(chosen, times))
-    marked = docs.withColumn("__mark", mark)
-    joined = marked.join(chosen, marked[id_col].eqNullSafe(chosen["__id"]) & (marked["__mark"] == chosen["__th"]))
-    once, more = joined.where("__times = 1"), joined.where("__times > 1").dropDuplicates(["__id", "__th"])
-    return once.unionByName(more).select(*docs.columns) if not chosen.where("__times > 1").isEmpty() else once.select(*docs.columns)
-
-
-def _with_times(chosen: DataFrame, times: DataFrame) -> DataFrame:
+    chosen = rooted.groupBy("root").agg(F.min("__first").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.th").alias("__th"), F.col("f.rh").alias("__rh"))
+    times = found.groupBy(F.col(id_col).alias("__id"), "__th", "__rh").agg(F.count(F.lit(1)).alias("__times"))
     c, t = chosen.alias("c"), times.alias("t")
-    return c.join(t, F.col("c.__id").eqNullSafe(F.col("t.__id")) & (F.col("c.__th") == F.col("t.__th"))).select("c.__id", "c.__th", "t.__times")
+    same = F.col("c.__id").eqNullSafe(F.col("t.__id")) & (F.col("c.__th") == F.col("t.__th")) & (F.col("c.__rh") == F.col("t.__rh"))
+    chosen = checkpoint(c.join(t, same).select("c.*", "t.__times"))
+    d, c = docs.withColumns(marks).alias("d"), chosen.alias("c")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.__id")) & (F.col("d.__th") == F.col("c.__th")) & (F.col("d.__rh") == F.col("c.__rh"))
+    joined = d.join(c, same).select("d.*", "c.__times")
+    once, more = joined.where("__times = 1"), joined.where("__times > 1").dropDuplicates([id_col, "__th", "__rh"])
+    out = once if chosen.where("__times > 1").isEmpty() else once.unionByName(more)
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -185,9 +185,10 @@ def plain_hits(text, items, length=10):
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 100])
-def test_contamination_against_plain_windows(spark, docs, corpus, monkeypatch, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "blocks"), [(8 << 20, 8), (100, 2)])
+def test_contamination_against_plain_windows(spark, docs, corpus, monkeypatch, block_bytes, blocks):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", blocks)
     tokens = corpus[8].split()
     items = [(1, " ".join(tokens[5:17]).upper()), (2, " ".join(tokens[100:130])), (3, "footer line HERE"), (4, ""), (5, None), (6, " ".join(tokens[5:17])), (7, "!!!"), (11, "ab ab ab ab ab ab ab ab ab ab ab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -207,6 +208,24 @@ def test_contamination_against_plain_windows(spark, docs, corpus, monkeypatch, b
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_the_automaton_tells_every_window():
+    rng = random.Random(6)
+    items = [[rng.randrange(3) for _ in range(rng.randrange(0, 12))] for _ in range(30)] + [[0] * 15]
+    automaton = decontaminate.SuffixAutomaton(items, 5, 3)
+    texts = [[rng.randrange(-1, 3) for _ in range(rng.randrange(0, 60))] for _ in range(40)] + [[0] * 40]
+    flat = np.array([w for t in texts for w in t], np.int64)
+    first = np.cumsum([0, *map(len, texts)])
+    got = {(c, a - int(first[c]), z - int(first[c]), tuple(sorted(i.tolist()))) for c, a, z, i in automaton.hits(flat, first[:-1], first[1:])}
+    expected = set()
+    for c, t in enumerate(texts):
+        for n in {min(5, len(i)) for i in items} - {0}:
+            for a in range(len(t) - n + 1):
+                found = tuple(k for k, i in enumerate(items) if min(5, len(i)) == n and any(i[x : x + n] == t[a : a + n] for x in range(len(i) - n + 1)))
+                if found:
+                    expected.add((c, a, a + n, found))
+    assert got == expected and len(got) > 300
+
+
 @pytest.mark.parametrize("block_bytes", [8 << 20, 40])
 def test_benchmark_items_without_ids_hit(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
