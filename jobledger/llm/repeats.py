@@ -5,16 +5,18 @@ A byte goes if a `length`-byte string that covers it also starts anywhere else.
 Sorting every suffix of a corpus would move many times its size.  Instead each
 window of `length` bytes picks one anchor, its least-hashed run of `gram` bytes:
 equal windows pick anchors at equal places, so only suffixes at anchors are
-needed, about one in seventy.  Anchors of one content meet by a shuffled count.
-Where all windows of an anchor occur elsewhere as a whole, a second hash says so.
-The rest (the edges of repeats) are resolved in a task for each anchor content:
-its suffixes are merge-sorted, compared by prefix polynomial hashes and binary
+needed, about one in seventy.  Anchors of one content meet by a shuffled count, and
+those that occur again move with the bytes around them to a task for each content.
+There suffixes are merge-sorted, compared by prefix polynomial hashes and binary
 search for their common extension, the common prefixes of neighbours are verified
-byte by byte, and a window occurs again if neighbours share its right part and
-its left part hashes alike (verified against the bytes as well).
-
-Anchor contents with very many different surroundings are counted by window with
-Spark's own aggregation, so that no task holds them all.
+byte by byte, and a window occurs again if neighbours share its right part and its
+left part hashes alike (verified against the bytes as well).  Equal surroundings are
+compared as bytes before they count as one.
+
+Contents with more than HOT surroundings are split by further bytes: windows that
+begin b0 to b1 bytes before the anchor all hold the b0 bytes before it and the
+bytes behind it up to where the last of them ends, so surroundings go to one task
+for each such range of windows and those bytes, and are sorted there alike.
 """
 
 from __future__ import annotations
@@ -23,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.llm.simhash import whole_units
-from jobledger.llm.tables import checkpoint, partitions, passes, sieve
+from jobledger.llm.tables import checkpoint, join_unique, partitions, passes, sieve
 from jobledger.llm.textkit import _INV, _POW, column_bytes, mix
 
 LENGTH, GRAM = 200, 64
 #: Positions that are anchored at once; their numbers fill the low bits of the least hash.
 _PLACES = 18
-#: Occurrences of one anchor content that one task resolves.
-HOT = 20_000
+#: Surroundings of one anchor content that one task resolves, and windows of one range where there are more.
+HOT, RANGE = 20_000, 17
+_CLASH = "two different strings have one 64-bit hash; change the base in textkit"
 
 
 def _prefix(buf: np.ndarray) -> np.ndarray:
@@ -128,27 +132,32 @@ def _counted(found: dict, kept: dict, buf: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_long(found["h"]), _long(found["full"])], names=["h", "full"])
 
 
-def _surroundings(table: bytes, other: bytes | None, length: int):
-    """Anchors that `table` lets pass and `other` does not, with their bytes where the task has not sent them before."""
-    seen: set[int] = set()
+def _surroundings(table: bytes | None, other: bytes | None, length: int):
+    """Anchors that `table` lets pass and `other` (if there is one) does not, equal ones of a piece once, with their bytes where the task has not sent them before."""
+    seen: dict[int, bytes] = {}
 
     def make(found: dict, kept: dict, buf: np.ndarray) -> pa.RecordBatch:
         good = passes(table, found["h"])
         if other is not None:
             good &= ~passes(other, found["h"])
         pick = np.flatnonzero(good)
-        h, full, a = found["h"][pick], found["full"][pick], found["byte"][pick]
+        key = mix(found["h"][pick] ^ found["full"][pick])
+        _, one, times = np.unique(key, return_index=True, return_counts=True)
+        a = found["byte"][pick]
         z = a + found["more"][pick] + length
-        bytes_: list[bytes | None] = []
-        for key, x, y in zip(mix(h ^ full).tolist(), a.tolist(), z.tolist(), strict=True):
-            if key in seen:
-                bytes_.append(None)
-            else:
-                if len(seen) > 100_000:
+        sent: dict[int, bytes | None] = {}
+        for k, x, y in zip(key.tolist(), a.tolist(), z.tolist(), strict=True):
+            own = buf[x:y].tobytes()
+            known = seen.get(k)
+            if known is None:
+                if len(seen) > 50_000:
                     seen.clear()
-                seen.add(key)
-                bytes_.append(buf[x:y].tobytes())
-        return pa.RecordBatch.from_arrays([_long(h), _long(full), pa.array(found["at"][pick].astype(np.int32)), pa.array(found["more"][pick].astype(np.int32)), pa.array(bytes_, pa.binary())], names=["h", "full", "at", "more", "bytes"])
+                seen[k] = sent[k] = own
+            elif known != own:
+                raise ArithmeticError(_CLASH)
+        pick = pick[one]
+        kinds = {"h": _long(found["h"][pick]), "full": _long(found["full"][pick]), "times": pa.array(times.astype(np.int64)), "at": pa.array(found["at"][pick].astype(np.int32)), "more": pa.array(found["more"][pick].astype(np.int32))}
+        return pa.RecordBatch.from_arrays([*kinds.values(), pa.array([sent.get(k) for k in key[one].tolist()], pa.binary())], names=[*kinds, "bytes"])
 
     return make
 
@@ -254,7 +263,7 @@ def recurring(run: np.ndarray, times: np.ndarray, at: np.ndarray, more: np.ndarr
         m = reach < deepest[k][:, None]
         x, y = np.maximum(place[k][:, None] - 1 - reach, 0), np.maximum(place[leader[k]][:, None] - 1 - reach, 0)
         if ((buf[x] != buf[y]) & m).any():
-            raise ArithmeticError("two different strings have one 64-bit hash; change the base in textkit")
+            raise ArithmeticError(_CLASH)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -272,37 +281,88 @@ def _ranges(found: np.ndarray) -> list[list[int]]:
 
 
 def _resolved(length: int):
+    """(h, full, ranges) from rows sorted by unit and surroundings: windows that occur again in their unit as first, last, first, last, ... (null: all)."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_units(parts, least=4000):
-            unit, full = t["unit"].to_numpy(), t["full"].to_numpy()
+            unit, h, full, weight = (t[c].to_numpy() for c in ("unit", "h", "full", "times"))
             # rows with bytes sort first among those of one stretch; the others are counted
             first = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (full[1:] != full[:-1])])
-            times = np.diff(np.r_[first, len(unit)])
-            unit, full = unit[first], full[first]
+            times = np.add.reduceat(weight, first)
+            given = np.flatnonzero(np.asarray(t["bytes"].is_valid()))
+            of = first[np.searchsorted(first, given, "right") - 1]
+            twins = of != given
+            if twins.any() and not pc.all(pc.equal(t["bytes"].take(pa.array(given[twins])), t["bytes"].take(pa.array(of[twins])))).as_py():
+                raise ArithmeticError(_CLASH)
+            unit, h, full = unit[first], h[first], full[first]
             n_of = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            several = np.repeat(np.diff(np.r_[n_of, len(unit)]), np.diff(np.r_[n_of, len(unit)])) > 1
-            keep = several | (times > 1)
-            if not keep.any():
+            sizes = np.diff(np.r_[n_of, len(unit)])
+            several = np.repeat(sizes, sizes) > 1
+            alone = ~several & (times > 1)  # all surroundings of the content are equal: each window occurs again
+            if alone.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[alone]), pa.array(full[alone]), pa.nulls(int(alone.sum()), pa.list_(pa.int32()))], names=["h", "full", "ranges"])
+            if not several.any():
                 continue
-            one = t.take(pa.array(first[keep]))
-            unit, full, times = unit[keep], full[keep], times[keep]
+            one = t.take(pa.array(first[several]))
+            unit, h, full, times = unit[several], h[several], full[several], times[several]
             buf, offs = column_bytes(one["bytes"])
             found = recurring(unit, times, one["at"].to_numpy(), one["more"].to_numpy(), offs, buf, length)
             some = found.any(axis=1)
-            rows = [None if n > 1 else r for n, r in zip(times[some].tolist(), _ranges(found[some]), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(unit[some]), pa.array(full[some]), pa.array(rows, pa.list_(pa.int32()))], names=["h", "full", "ranges"])
+            skip = one["skip"].to_numpy()[some]
+            rows = [None if n > 1 else [x + k for x in r] for n, k, r in zip(times[some].tolist(), skip.tolist(), _ranges(found[some]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(full[some]), pa.array(rows, pa.list_(pa.int32()))], names=["h", "full", "ranges"])
+
+    return run
+
+
+def _split(width: int, length: int, gram: int):
+    """Surroundings once for each range of `width` windows, cut to what these cover, in units by the bytes that all windows of the range hold."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in parts:
+            rows: dict[str, list] = {c: [] for c in ("unit", "h", "full", "times", "at", "more", "skip", "bytes")}
+            get = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            for h, full, times, at, more, skip, own in zip(*(get(c) for c in rows if c != "unit"), strict=True):
+                for b0 in range(max(0, at - more) // width * width, at + 1, width):
+                    b1 = min(b0 + width - 1, length - gram)
+                    a, z = at - min(b1, at), at - max(b0, at - more)  # windows of the range
+                    shared = own[at - b0 : at + length - b1]
+                    rows["unit"].append(xxhash.xxh64_intdigest(shared, b0) ^ (h & (1 << 64) - 1))
+                    for c, x in zip(list(rows)[1:], (h, full, times, at - a, z - a, skip + a, own[a : z + length]), strict=True):
+                        rows[c].append(x)
+            kinds = {"unit": pa.uint64(), "at": pa.int32(), "more": pa.int32(), "skip": pa.int32(), "bytes": pa.binary()}
+            arrays = [pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()]
+            yield pa.RecordBatch.from_arrays([arrays[0].view(pa.int64()), *arrays[1:]], names=list(rows))
 
     return run
 
 
-def _by_window(classes: DataFrame, length: int) -> DataFrame:
-    """The same for anchor contents with more than HOT surroundings: one row a window, counted by aggregation."""
-    windows = classes.select("h", "full", "times", "at", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("o"), "bytes")
-    windows = windows.select("h", "full", "times", "o", (F.col("at") - F.col("o")).alias("back"), F.md5(F.expr(f"substring(bytes, o + 1, {length})")).alias("w"))
-    again = windows.groupBy("h", "back", "w").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-    hit = windows.join(again, ["h", "back", "w"]).groupBy("h", "full").agg(F.sort_array(F.collect_set("o")).alias("os"), F.first("times").alias("times"))
-    flat = F.flatten(F.transform("os", lambda o: F.array(o, o)))
-    return hit.select("h", "full", F.when(F.col("times") > 1, None).otherwise(flat).alias("ranges"))
+_SHAPE = "unit long, h long, full long, times long, at int, more int, skip int, bytes binary"
+
+
+def _dealt(rows: DataFrame, length: int) -> DataFrame:
+    dealt = rows.repartition(partitions(rows.sparkSession), "unit").sortWithinPartitions(F.col("unit"), F.col("full"), F.col("bytes").isNull())
+    return dealt.mapInArrow(_resolved(length), "h long, full long, ranges array<int>")
+
+
+def _of_hot(met: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, full, ranges) for contents with more than HOT surroundings."""
+    classes = met.groupBy("h", "full").agg(F.sum("times").alias("times"), F.first("at").alias("at"), F.first("more").alias("more"), F.first("bytes", ignorenulls=True).alias("bytes"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    sure = F.when(F.col("lo") == F.col("hi"), F.col("bytes")).otherwise(F.raise_error(F.lit(_CLASH)).cast("binary"))
+    classes = checkpoint(classes.select("h", "full", "times", "at", "more", F.lit(0).alias("skip"), sure.alias("bytes")))
+    again = classes.where("times > 1").select("h", "full", F.lit(None).cast("array<int>").alias("ranges"))
+    ranges = checkpoint(classes.mapInArrow(_split(RANGE, length, gram), _SHAPE))
+    large = checkpoint(ranges.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("unit"))
+    out = again.unionByName(_dealt(ranges.join(large, "unit", "left_anti"), length))
+    if large.isEmpty():
+        return out
+    # still as many in a range: by single windows, which need a count only
+    single = checkpoint(ranges.join(large, "unit", "left_semi").drop("unit").mapInArrow(_split(1, length, gram), _SHAPE))
+    twice = single.groupBy("unit").agg(F.sum("times").alias("n"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("n > 1")
+    twice = checkpoint(twice.select("unit", F.when(F.col("lo") == F.col("hi"), True).otherwise(F.raise_error(F.lit(_CLASH)).cast("boolean")).alias("same")))
+    return out.unionByName(join_unique(single, twice, "unit").select("h", "full", F.array("skip", "skip").alias("ranges")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -315,20 +375,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = few.schema[0].dataType.simpleString()
     spark = docs.sparkSession
     counted = few.mapInArrow(_each("__text", keep, length, gram, _counted), "h long, full long")
-    often = checkpoint(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"), F.max("full").alias("top")).where("n > 1").select("h", "n", "full", (F.col("full") != F.col("top")).alias("mixed")))
-    mixed, many = often.where("mixed"), often.where("mixed").where(F.col("n") > HOT)
-    twice, several = sieve(often, "h"), sieve(mixed, "h")
+    often = checkpoint(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("full") != F.max("full")).alias("mixed")).where("n > 1"))
+    many = checkpoint(often.where("mixed").where(F.col("n") > HOT).select("h"))
+    twice = sieve(often, "h")
     crowded = None if many.isEmpty() else sieve(many, "h")
-    shape = "h long, full long, at int, more int, bytes binary"
-    usual = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(several, crowded, length)), shape)
-    dealt = usual.withColumnRenamed("h", "unit").repartition(partitions(spark), "unit").sortWithinPartitions(F.col("unit"), F.col("full"), F.col("bytes").isNull())
-    result = dealt.mapInArrow(_resolved(length), "h long, full long, ranges array<int>")
-    whole = often.where("not mixed").select("h", "full", F.lit(None).cast("array<int>").alias("ranges"))
-    result = result.unionByName(whole)
-    if crowded is not None:
+    shape = "h long, full long, times long, at int, more int, bytes binary"
+    usual = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(twice, crowded, length)), shape)
+    result = _dealt(usual.select(F.col("h").alias("unit"), "h", "full", "times", "at", "more", F.lit(0).alias("skip"), "bytes"), length)
+    if not many.isEmpty():
+        # what the sieve lets pass besides belongs to contents with fewer, which the tasks of a range resolve as well
         met = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(crowded, None, length)), shape)
-        classes = met.groupBy("h", "full").agg(F.count(F.lit(1)).alias("times"), F.first("at").alias("at"), F.first("more").alias("more"), F.first("bytes", ignorenulls=True).alias("bytes"))
-        result = result.unionByName(_by_window(checkpoint(classes), length))
+        result = result.unionByName(_of_hot(met, length, gram))
     result = checkpoint(result)
     placed = few.mapInArrow(_each("__text", keep, length, gram, _placed(twice)), f"h long, full long, `{id_col}` {kind}, __th long, start long, more int")
     joined = placed.join(result, ["h", "full"])

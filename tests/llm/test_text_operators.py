@@ -249,7 +249,7 @@ def plain_repeats(texts, length):
         yield len(t), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize(("hot", "places"), [(20_000, 18), (1, 18), (20_000, 12)])
+@pytest.mark.parametrize(("hot", "places"), [(20_000, 18), (1, 18), (4, 18), (20_000, 12)])
 def test_repeats_against_every_substring(spark, docs, monkeypatch, hot, places):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "_PLACES", places)
