@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from jobledger.llm import decontaminate, embeddings, linededup, mixing, paragraphs, repeats, simhash, tokencount, toxicity, urlfilter
 from jobledger.llm.tables import table
 
-#: Weights of the mix's tree; what is not named weighs 1 among its siblings.
-WEIGHTS = {("en",): 4.0, ("de",): 2.0, ("fr",): 2.0, ("es",): 1.5, ("en", "src0"): 3.0}
-LEVELS = ["lang", "source"]
+#: Weights of the mix's tree of domains, languages and sources; what is not named weighs 1 among its siblings.
+DOMAINS = 4
+LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.5}
+WEIGHTS = {("domain0",): 3.0, ("domain1",): 2.0, **{(f"domain{d}", k): w for d in range(DOMAINS) for k, w in LANGUAGES.items()}, ("domain0", "en", "src0"): 3.0}
+
+
+def levels() -> list:
+    """The tree's columns.  The tables have no domain, so a source's follows from the CRC-32 of its name."""
+    domain = F.concat(F.lit("domain"), (F.crc32(F.coalesce(F.col("source"), F.lit(""))) % DOMAINS).cast("string"))
+    return [domain, "lang", "source"]
+
+
 MODEL = "piece_bpe_32k.model"
 
 
@@ -30,8 +39,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS)
-    return mixed.select("doc_id", "lang", "source", mixing.token_estimate().alias("n_tokens"), "copies")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), levels(), WEIGHTS, tokens_col="n_taken")
+    return mixed.select("doc_id", levels()[0].alias("domain"), "lang", "source", mixing.token_estimate().alias("n_tokens"), "copies", "n_taken")
 
 
 def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
 
     A text that no longer fits is passed over whole; texts are never cut.
     Null ids or labels are left out; a document labelled twice counts as toxic if
-    either says so.  Without rows, or with one class only, the bias alone answers.
+    either says so, and of several texts of one id the one with the least hash is
+    learned.  Without rows, or with one class only, the bias alone answers.
     """
     order = F.xxhash64(F.col(id_col), F.lit(s.seed))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["id", "y", "at"])
 
     kind = few.schema[0].dataType.simpleString()
-    got = few.mapInArrow(run, f"id {kind}, y int, at binary").dropDuplicates(["id"]).toArrow()
+    got = few.mapInArrow(run, f"id {kind}, y int, at binary").groupBy("id").agg(F.max("y").alias("y"), F.min_by("at", F.xxhash64("at")).alias("at")).toArrow()
     ids, y = got["id"].to_pylist(), got["y"].to_pylist()
     at_of = [c.as_buffer() for c in got["at"]]  # views, no copies
     rows = [(np.frombuffer(at_of[k], "<i4"), y[k]) for k in sorted(range(len(ids)), key=lambda k: hash_order(ids[k], s.seed))]
@@ -169,7 +170,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
-    """Documents whose score stays below the threshold; columns as given."""
+    """Documents whose score stays below the threshold; columns as given, whatever their names.
+
+    Null and empty texts have the bias's score; repeated rows share their fate; no rows give none.
+    """
     model = fit(docs, labels, s)
-    scored = score(docs, model, out_col="__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).select(*docs.columns)
+    mark = "__score"
+    while mark in docs.columns:
+        mark += "_"
+    return score(docs, model, out_col=mark).where(F.col(mark) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
