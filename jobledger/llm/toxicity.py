@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     A text that no longer fits is passed over whole; texts are never cut.
     Null ids or labels are left out; a document labelled twice counts as toxic if
     either says so, and of several texts of one id the one with the least hash is
-    learned.  Without rows, or with one class only, the bias alone answers.
+    learned.  Without a toxic row nothing is known to be toxic, and every score is near 0.
     """
     order = F.xxhash64(F.col(id_col), F.lit(s.seed))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
@@ -133,6 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     ids, y = got["id"].to_pylist(), got["y"].to_pylist()
     at_of = [c.as_buffer() for c in got["at"]]  # views, no copies
     rows = [(np.frombuffer(at_of[k], "<i4"), y[k]) for k in sorted(range(len(ids)), key=lambda k: hash_order(ids[k], s.seed))]
+    if not any(y):
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0, s.bits)
     learner = FTRL(s)
     for epoch in range(s.epochs):
         for k in np.random.default_rng(s.seed + epoch).permutation(len(rows)):

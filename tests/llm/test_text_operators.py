@@ -413,6 +413,39 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def plain_features(text):
+    w = plain_words(text)
+    own = {("w", x) for x in w} | {(k, x.encode()[:k]) for x in w for k in toxicity.STEMS if len(x.encode()) > k}
+    return own | {(0, a, b) for a, b in zip(w, w[1:], strict=False)} | {(1, a, b) for a, b in zip(w, w[2:], strict=False)} | {"bias"}
+
+
+def test_toxicity_against_a_plain_learner(spark):
+    rng = random.Random(14)
+    rows = [(k, words(rng, 30, 25) + (" vile" if k % 4 == 0 else "")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    s = toxicity.Settings(bits=22, epochs=2, l1=0.5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, s)).collect()}
+    held = {r.doc_id for r in docs.where(toxicity.held_out()).collect()}
+    z, n, text = Counter(), Counter(), dict(rows)
+
+    def weight(f):
+        l1 = 0.0 if f == "bias" else s.l1
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((s.beta + n[f] ** 0.5) / s.alpha + s.l2)
+
+    order = sorted((k for k, _ in rows if k not in held), key=lambda k: toxicity.hash_order(k, s.seed))
+    for epoch in range(s.epochs):
+        for i in np.random.default_rng(s.seed + epoch).permutation(len(order)):
+            own = {f: weight(f) for f in plain_features(text[order[i]])}
+            g = 1 / (1 + np.exp(-sum(own.values()))) - int(order[i] % 4 == 0)
+            for f, w in own.items():
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / s.alpha * w
+                n[f] += g * g
+    plain = {k: 1 / (1 + np.exp(-sum(map(weight, plain_features(t))))) for k, t in rows}
+    off = [abs(plain[k] - got[k]) for k in plain]
+    assert len(held) > 50 and np.median(off) < 1e-4 and max(off) < 0.05  # a few coordinates are shared
+
+
 def test_shares_go_to_siblings_before_ancestors():
     leaves = [(("en", "a"), 10), (("en", "b"), 1000), (("de", "c"), 1000)]
     got = mixing.leaf_budgets(leaves, {("en",): 1.0, ("de",): 1.0}, 400, 1)
