@@ -37,7 +37,7 @@ LENGTH, GRAM = 200, 64
 #: Positions that are anchored at once; their numbers fill the low bits of the least hash.
 _PLACES = 18
 #: Surroundings of one anchor content that one task resolves, and windows of one range where there are more.
-HOT, RANGE = 20_000, 17
+HOT, RANGE = 4_000, 17
 _CLASH = "two different strings have one 64-bit hash; change the base in textkit"
 
 
@@ -284,7 +284,7 @@ def _resolved(length: int):
     """(h, full, ranges) from rows sorted by unit and surroundings: windows that occur again in their unit as first, last, first, last, ... (null: all)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_units(parts, least=4000):
+        for t in whole_units(parts, least=1000):
             unit, h, full, weight = (t[c].to_numpy() for c in ("unit", "h", "full", "times"))
             # rows with bytes sort first among those of one stretch; the others are counted
             first = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (full[1:] != full[:-1])])
