@@ -11,6 +11,8 @@ from jobledger.llm.tables import checkpoint
 
 #: Nodes with more than a HUBS-th of all link ends are hubs; there can't be more than HUBS.
 HUBS = 4096
+#: Links that one task may hold without ado; with so few, a hub is an ordinary node.
+FEW = 1 << 17
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -19,7 +21,9 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def _with_least(links: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """Links with the least neighbour m of their u.  A hub's rows stay where they are and get m from a broadcast of HUBS rows at most, so no task gets them all."""
-    limit = max(HUBS, ends) // HUBS
+    if ends <= FEW:
+        return links.join(least.select("u", "m"), "u")
+    limit = ends // HUBS
     hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub")))
     marked = links.join(hubs, "u", "left")
     others = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") <= limit).select("u", "m"), "u")

@@ -139,6 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     for epoch in range(s.epochs):
         for k in np.random.default_rng(s.seed + epoch).permutation(len(rows)):
             learner.learn(*rows[k])
+    del got, at_of, rows  # the driver keeps the weights only
+    pa.default_memory_pool().release_unused()
     return learner.model()
 
 

@@ -56,7 +56,10 @@ def test_the_pigeonhole_join_verifies_a_small_part_of_all_pairs_and_loses_none()
     assert len(pairs) < 0.005 * len(x) * (len(x) - 1) / 2
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "HUBS", 8)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (-5, 130), (130, 129)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {k: -5 for k in range(100, 131)}
