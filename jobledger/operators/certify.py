@@ -10,22 +10,27 @@ from jobledger.functions.scalars import classify_error, ratio
 from jobledger.operators.portfolio import KEYS
 
 
-def checks(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each row of df and rule whose columns are all there: rule, residual, tolerance."""
-    tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), (F.col(r.output).cast("double") - r.value()).alias("residual"), r.tolerance().alias("tolerance")) for r in rules]
-    keep = [F.col(c) for c in df.columns]
-    return df.select(*keep, F.explode(F.array(*tests)).alias("t")).select(*df.columns, "t.*").where("residual is not null")
+def _test(r: Rule) -> tuple:
+    """(residual, tolerance) of a rule on a row."""
+    return F.col(r.output).cast("double") - r.value(), r.tolerance()
 
 
 def failures(df: DataFrame) -> DataFrame:
-    """Rows that break an identity by more than rounding can explain."""
-    return checks(df, usable(df.columns)).where(F.abs("residual") > F.col("tolerance"))
+    """Rows that break an identity by more than rounding can explain, once for each: rule, family, residual, tolerance.  Rules that hold leave the row before anything is multiplied."""
+    tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), a.alias("residual"), b.alias("tolerance")) for r in usable(df.columns) for a, b in [_test(r)]]
+    bad = F.filter(F.array(*tests), lambda t: F.abs(t["residual"]) > t["tolerance"])
+    return df.withColumn("__t", F.explode(bad)).select(*df.columns, "__t.*")
 
 
 def witnesses(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """For each section and rule: rows checked and rows that hold."""
-    held = (F.abs("residual") <= F.col("tolerance")).cast("long")
-    return checks(df, usable(df.columns)).groupBy(*keys, "rule").agg(F.count(F.lit(1)).alias("checked"), F.sum(held).alias("held"))
+    """For each section and rule: rows checked and rows that hold, in one aggregation without a row for each rule."""
+    rules = usable(df.columns)
+    counts = []
+    for k, r in enumerate(rules):
+        residual, tolerance = _test(r)
+        counts += [F.count(residual).alias(f"n{k}"), F.count_if(F.abs(residual) <= tolerance).alias(f"h{k}")]
+    each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"n{k}").alias("checked"), F.col(f"h{k}").alias("held")) for k, r in enumerate(rules)]))
+    return df.groupBy(*keys).agg(*counts).select(*keys, each.alias("t")).select(*keys, "t.*").where("checked > 0")
 
 
 def audit_fixed_mapping(df: DataFrame, keys: tuple[str, ...] = KEYS, least_rows: int = 3) -> DataFrame:
@@ -42,9 +47,11 @@ def audit_fixed_mapping(df: DataFrame, keys: tuple[str, ...] = KEYS, least_rows:
 def culprits(df: DataFrame) -> DataFrame:
     """For each failing row the inputs common to all its failed rules, without those that some rule with independent support clears."""
     inputs = {r.name: [r.output, *r.inputs] for r in RULES}
-    names = F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
-    found = checks(df, usable(df.columns)).withColumns({"names": names[F.col("rule")], "bad": F.abs("residual") > F.col("tolerance")})
-    rows = found.groupBy(*KEYS, "job_id").agg(F.collect_list(F.when(F.col("bad"), F.col("names"))).alias("b"), F.flatten(F.collect_set(F.when(~F.col("bad"), F.col("names")))).alias("clear")).where(F.size("b") > 0)
+    rules = usable(df.columns)
+    held = {r.name: (F.abs(a) <= b) for r in rules for a, b in [_test(r)]}
+    names = {r.name: F.array(*[F.lit(c) for c in inputs[r.name]]) for r in rules}
+    some = lambda good: F.filter(F.array(*[F.when(held[r.name] if good else ~held[r.name], names[r.name]) for r in rules]), lambda x: x.isNotNull())
+    rows = df.select(*KEYS, "job_id", some(False).alias("b"), F.flatten(some(True)).alias("clear")).where(F.size("b") > 0)
     shared = F.aggregate(F.slice("b", 2, F.size("b")), F.col("b")[0], lambda acc, x: F.array_intersect(acc, x))
     return rows.select(*KEYS, "job_id", F.array_sort(F.array_except(shared, "clear")).alias("culprits"), F.size("b").alias("failed"))
 
