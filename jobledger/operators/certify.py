@@ -22,6 +22,12 @@ def failures(df: DataFrame) -> DataFrame:
     return df.withColumn("__t", F.explode(bad)).select(*df.columns, "__t.*")
 
 
+def breaks(columns: list[str]):
+    """Whether a row breaks an identity of these columns; an expression, so no join finds such rows."""
+    tests = [F.coalesce(F.abs(a) > b, F.lit(False)) for r in usable(columns) for a, b in [_test(r)]]
+    return F.array_contains(F.array(*tests), True)
+
+
 def witnesses(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """For each section and rule: rows checked and rows that hold, in one aggregation without a row for each rule."""
     rules = usable(df.columns)
@@ -52,7 +58,7 @@ def culprits(df: DataFrame) -> DataFrame:
     names = {r.name: F.array(*[F.lit(c) for c in inputs[r.name]]) for r in rules}
     some = lambda good: F.filter(F.array(*[F.when(held[r.name] if good else ~held[r.name], names[r.name]) for r in rules]), lambda x: x.isNotNull())
     rows = df.select(*KEYS, "job_id", some(False).alias("b"), F.flatten(some(True)).alias("clear")).where(F.size("b") > 0)
-    shared = F.aggregate(F.slice("b", 2, F.size("b")), F.col("b")[0], lambda acc, x: F.array_intersect(acc, x))
+    shared = F.aggregate(F.slice("b", F.lit(2), F.greatest(F.size("b"), F.lit(1))), F.get("b", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
     return rows.select(*KEYS, "job_id", F.array_sort(F.array_except(shared, "clear")).alias("culprits"), F.size("b").alias("failed"))
 
 

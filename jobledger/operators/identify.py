@@ -54,11 +54,19 @@ def anchor_candidates(cells: DataFrame, whole: int, factor: float) -> DataFrame:
     return s.where((F.col("bad") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))) & (F.col("m") >= 0.02)).select(*SECTION, F.col("b").alias("mcol"))
 
 
+#: Tests of one aggregate.
+TESTS = 84
+
+
 def column_sums(wide: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """All (a, b, s) with a + b = s on all rows but a tenth (one at least): all triples are tested in one pass over the rows."""
     tests = [(a, b, s) for s in columns for i, a in enumerate(columns) for b in columns[i + 1 :] if s not in (a, b)]
     off = [F.count_if(F.abs(F.col(a) + F.col(b) - F.col(s)) > F.greatest(F.lit(1.0), F.abs(F.col(s)) * F.lit(0.005)) + F.lit(1.0)).alias(f"t{k}") for k, (a, b, s) in enumerate(tests)]
-    counted = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *off)
+    # in aggregates of so many tests that each stays within generated code; sections are few
+    counted = None
+    for at in range(0, len(off), TESTS):
+        some = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *off[at : at + TESTS])
+        counted = some if counted is None else counted.join(some.drop("n"), keys)
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s"), F.col(f"t{k}").alias("off")) for k, (a, b, s) in enumerate(tests)]))
     return counted.where("n >= 3").select(*keys, "n", rows.alias("t")).select(*keys, "t.a", "t.b", "t.s", "n", "t.off").where(F.col("off") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10))).select(*keys, "a", "b", "s")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,11 @@ MONTHS = {
 YEAR_ENDS, FISCAL = ("end", "ended", "ending"), ("fye", "fyend", "fyended", "fyending")
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with value worked out once, where Catalyst would write it out wherever it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def clean(raw: Column) -> Column:
     """Trimmed, with plain spaces.  Texts outside ASCII should pass nfkc() first; it changes no others."""
     return F.trim(F.regexp_replace(raw, "[\\u00a0\\s]+", " "))
@@ -77,27 +84,38 @@ def _number(text: Column, eu: Column) -> Column:
 def parse_cell(raw: Column, eu: Column | None = None, repair: bool = True) -> Column:
     """struct(value, repaired, percent): blanks and dashes are 0, parentheses and a minus negate, % is noted, letters read for digits are repaired after a strict reading fails; unreadable is null."""
     eu = F.lit(False) if eu is None else eu
-    s = clean(F.coalesce(raw, F.lit("")))
-    bare = F.trim(F.regexp_replace(s, f"^[{CURRENCY}]+", ""))
-    wrapped = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
-    inner = F.trim(F.when(wrapped, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare))
-    percent = F.contains(inner, F.lit("%"))
-    inner = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(inner, f"^[{CURRENCY}]+", ""), "%+$", "")), " ", "")
-    zero = (s == "") | bare.isin(*DASHES) | inner.isin(*DASHES)
-    minus = inner.startswith("-")
-    digits = F.regexp_replace(inner, "^-", "")
-    strict = _number(digits, eu)
-    mended = _number(F.translate(digits, LETTERS, DIGITS), eu) if repair else F.lit(None).cast("double")
-    value = F.coalesce(strict, mended)
-    negative = wrapped != minus
-    return F.struct(F.when(zero, F.lit(0.0)).when(negative, -value).otherwise(value).alias("value"), (~zero & strict.isNull() & mended.isNotNull()).alias("repaired"), (~zero & percent).alias("percent"))
+    without_sign = lambda x: F.trim(F.ltrim(x, F.lit(CURRENCY + " ")))
+
+    def of_inner(s: Column, wrapped: Column, inner: Column) -> Column:
+        zero = (s == "") | inner.isin("", *DASHES)
+        minus = inner.startswith("-")
+        digits = F.replace(F.rtrim(without_sign(F.ltrim(inner, F.lit("-"))), F.lit("% ")), F.lit(" "), F.lit(""))
+
+        def of_digits(d: Column) -> Column:
+            strict = _number(d, eu)
+            mended = let(F.translate(d, LETTERS, DIGITS), lambda m: _number(m, eu)) if repair else F.lit(None).cast("double")
+            return let(F.struct(strict.alias("a"), mended.alias("b")), of_values)
+
+        def of_values(n: Column) -> Column:
+            value = F.coalesce(n["a"], n["b"])
+            signed = F.when(zero, F.lit(0.0)).when(wrapped != minus, -value).otherwise(value)
+            return F.struct(signed.alias("value"), (~zero & n["a"].isNull() & n["b"].isNotNull()).alias("repaired"), (~zero & F.contains(inner, F.lit("%"))).alias("percent"))
+
+        return let(digits, of_digits)
+
+    def of_bare(s: Column, bare: Column) -> Column:
+        wrapped = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
+        inner = F.when(wrapped, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+        return let(F.struct(wrapped.alias("w"), without_sign(inner).alias("i")), lambda x: of_inner(s, x["w"], x["i"]))
+
+    return let(clean(F.coalesce(raw, F.lit(""))), lambda s: let(without_sign(s), lambda bare: of_bare(s, bare)))
 
 
 def decimal_votes(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """For each document: cells that can only be US, only European, and the convention (European if more)."""
     s = F.regexp_replace(clean(F.col(column)), f"^[{CURRENCY} ()%]+|[{CURRENCY} ()%]+$", "")
-    us = is_us(s)
-    eu = ~us & is_european(s)
+    us = let(s, is_us)
+    eu = let(s, lambda x: ~is_us(x) & is_european(x))
     votes = df.groupBy(*keys).agg(F.count_if(us).alias("us"), F.count_if(eu).alias("eu"))
     return votes.withColumn("convention", F.when(F.col("eu") > F.col("us"), "eu").otherwise("us"))
 

@@ -161,8 +161,7 @@ def shared_unconfirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def minimal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _wide(t.with_errors(t.wip_jobs(spark, sf_dir)))
-    failing = wide.join(certify.failures(wide).select("job_id", "period").distinct(), ["job_id", "period"], "left_semi")
-    return repair.repairs(failing, ["V", "C", "G", "D", "Q", "E", "B"], ["job_id", "period"])
+    return repair.repairs(wide.where(certify.breaks(wide.columns)), ["V", "C", "G", "D", "Q", "E", "B"], ["job_id", "period"])
 
 
 @query
@@ -322,7 +321,7 @@ def assemble_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from jobledger.plans import more  # noqa: F401  registers its queries here
+    from jobledger.plans import books, more  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 

@@ -115,10 +115,15 @@ def trailing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def subtotals_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A subtotal of V, C and D in the middle of every schedule and a total at its end go again."""
-    j = t.wip_jobs(spark, sf_dir).select(*KEYS, F.col("job_id").alias("row"), "V", "C", "D")
-    total = j.groupBy(*KEYS).agg(F.lit(1 << 40).alias("row"), *[F.sum(c).alias(c) for c in "VCD"])
-    return parse.without_subtotals(j.unionByName(total), KEYS, "row", ["V", "C", "D"])
+    """A subtotal of V, C and D in the middle of every schedule, and a total at its end (in each second portfolio one that counts the subtotal as well), go again."""
+    j = t.wip_jobs(spark, sf_dir).select(*KEYS, (F.col("job_id") * 2).alias("row"), "V", "C", "D")
+    middle = j.groupBy(*KEYS).agg(F.floor(F.avg("row")).alias("cut"))
+    upper = j.join(middle, KEYS).where("row <= cut").groupBy(*KEYS).agg((F.max("row") + 1).alias("row"), *[F.sum(c).alias(c) for c in "VCD"], F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    total = j.groupBy(*KEYS).agg(F.lit(1 << 40).alias("row"), *[F.sum(c).alias(c) for c in "VCD"], F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    again = F.col("portfolio_id") % 2 == 0
+    half = upper.select(*KEYS, *[F.col(c).alias(f"half_{c}") for c in "VCD"])
+    total = total.join(half, KEYS, "left").select(*KEYS, "row", *[(F.col(c) + F.when(again, F.coalesce(f"half_{c}", F.lit(0))).otherwise(0)).alias(c) for c in "VCD"])
+    return parse.without_subtotals(j.unionByName(upper).unionByName(total), KEYS, "row", ["V", "C", "D"])
 
 
 @query

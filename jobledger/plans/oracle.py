@@ -243,7 +243,7 @@ _add("totals_corroborate", "SELECT portfolio_id, period, job_id FROM (SELECT *,
 _add("effective_mapping", "SELECT portfolio_id, period, job_id, C AS V, V AS C, G, D, Q, E, B FROM wip")
 _add("match_decisions", "SELECT job_id || '/' || period AS obs_id, CASE job_id % 10 WHEN 0 THEN 'own:' || job_id || '/' || period WHEN 1 THEN job_id::VARCHAR WHEN 2 THEN '7' WHEN 3 THEN '7' ELSE job_id::VARCHAR END AS group_id FROM wip")
 _add("trailing_totals", "SELECT portfolio_id, period, 7 AS matching FROM wip WHERE portfolio_id % 3 <> 0 GROUP BY portfolio_id, period")
-_add("subtotals_stripped", "SELECT portfolio_id, period, job_id AS row, V, C, D FROM wip")
+_add("subtotals_stripped", "SELECT portfolio_id, period, job_id * 2 AS row, V, C, D FROM wip")
 _add("job_id_column", "SELECT portfolio_id, period, 1 AS id_column FROM wip GROUP BY portfolio_id, period")
 _add("largest_changes", "SELECT portfolio_id, job_id, cost_change, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY cost_change DESC, job_id) AS r FROM cg) WHERE r <= 5", _REV)
 ORACLE["mapping_readiness"] = "SELECT * FROM (VALUES (1, true, true, true, true), (2, true, true, true, true), (3, false, true, true, false), (4, true, true, false, false), (5, true, false, true, false)) AS t(mapping_id, profit, progress, billing, ready)"
@@ -269,3 +269,27 @@ ORACLE["reading_disambiguators"] = f"""{WIP}, m AS (SELECT portfolio_id, period,
 SELECT portfolio_id, period, CASE WHEN q > 0.05 THEN 'Q' ELSE 'PB' END AS variable FROM m WHERE q > 0.05 OR pb > 0.05"""
 ORACLE["audited_columns"] = "SELECT * FROM (VALUES (1, 4, 'G'), (2, 4, 'R')) AS t(section, \"column\", variable)"
 ORACLE["edited_values"] = "SELECT k, value::DOUBLE AS value FROM (VALUES (1, -1000), (2, 0.125), (3, 12.5), (4, NULL), (5, NULL), (6, -3), (7, -3), (8, NULL), (9, 0)) AS t(k, value)"
+
+_add("parsed_schedules", """SELECT portfolio_id, period, sum(V)::BIGINT AS "sum_V", sum(C)::BIGINT AS "sum_C", sum(D)::BIGINT AS "sum_D",
+       sum(CASE WHEN job_id % 8 = 3 THEN contains(V::VARCHAR, '0')::INT + contains(C::VARCHAR, '0')::INT + contains(D::VARCHAR, '0')::INT ELSE 0 END)::BIGINT AS repaired,
+       max(floor(D * 100 / C)) / 100 AS most_complete, count(*) AS jobs, 1 AS totals, min('BOSS ' || job_id) AS first_label FROM wip GROUP BY portfolio_id, period""")
+_add("printed_totals", """SELECT portfolio_id, period, k AS col, (s + CASE WHEN k = 1 AND portfolio_id % 5 = 0 THEN 10000 ELSE 0 END)::BIGINT AS stated, s::BIGINT AS computed,
+       NOT (k = 1 AND portfolio_id % 5 = 0 AND 10000 > greatest(1, 0.51 * n + 1, 1e-9 * s)) AS matches, false AS includes_subtotals
+FROM (SELECT portfolio_id, period, count(*) AS n, unnest([1, 2, 3]) AS k, unnest([sum(V), sum(C), sum(D)]) AS s FROM wip GROUP BY portfolio_id, period)""")
+_add("cc_culprits", """SELECT portfolio_id, period, job_id, 'KT' AS culprit, KT + 100 AS observed, KT AS proposed, 2::BIGINT AS failed FROM cc WHERE job_id % 31 = 0 AND NOT (job_id % 37 = 1 AND RC <> 0)
+UNION ALL SELECT portfolio_id, period, job_id, 'RC', RC * 10, RC, 2 FROM cc WHERE job_id % 37 = 1 AND job_id % 31 <> 0 AND abs(RC) * 9 > 1.53""")
+_add("decided_corrections", "SELECT job_id || '/' || period AS id, D AS proposed, job_id % 3 <> 0 AS accepted FROM wip WHERE job_id % 97 = 0")
+_add("accepted_kpis", """SELECT portfolio_id, period, sum(V)::BIGINT AS total_contract_value, sum(C - D)::BIGINT AS cost_to_complete, sum((V - C) - (E - D))::BIGINT AS uegp, count(*) AS job_count,
+       CAST(sum(V) FILTER (r <= 5)::BIGINT AS DOUBLE) / sum(V)::BIGINT AS top5_share
+FROM (SELECT * REPLACE (CASE WHEN job_id % 97 = 0 AND job_id % 3 = 0 THEN D * 10 ELSE D END AS D), row_number() OVER (PARTITION BY portfolio_id, period ORDER BY V DESC, job_id) AS r FROM wip) GROUP BY portfolio_id, period""")
+_add("accepted_totals", """SELECT portfolio_id, period, variable, a::BIGINT AS computed, b::BIGINT AS corrected, s::BIGINT AS stated,
+       CASE WHEN abs(b - s) <= greatest(1, 0.01 * n, 1e-9 * greatest(abs(a), abs(s))) THEN CASE WHEN fixes > 0 THEN 'pass_after_corrections' ELSE 'pass' END
+            WHEN fixes > 0 AND abs(a - s) <= greatest(1, 0.01 * n, 1e-9 * greatest(abs(a), abs(s))) THEN 'conflicts' ELSE 'total_row_error' END AS status
+FROM (SELECT portfolio_id, period, 'D' AS variable, sum(CASE WHEN job_id % 97 = 0 THEN D * 10 ELSE D END) AS a, sum(CASE WHEN job_id % 97 = 0 AND job_id % 3 = 0 THEN D * 10 ELSE D END) AS b, sum(D) AS s, count(*) AS n,
+             count(*) FILTER (job_id % 97 = 0 AND job_id % 3 <> 0) AS fixes FROM wip GROUP BY portfolio_id, period
+      UNION ALL SELECT portfolio_id, period, 'U', sum(greatest(E - B, 0)), sum(greatest(E - B, 0)), sum(greatest(E - B, 0)), count(*), 0 FROM wip GROUP BY portfolio_id, period)""")
+_add("canonical_jobs", """SELECT job_id, period, V, C, V - C AS G, d AS "D", C - d AS Q, B, V - B AS "RB" FROM (SELECT * EXCLUDE (D), CASE WHEN job_id % 97 = 0 AND job_id % 3 = 0 THEN D * 10 ELSE D END AS d FROM wip)""")
+ORACLE["label_identities"] = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'J-' || p_partkey WHEN 2 THEN p_partkey::VARCHAR END AS id, trim(p_name) AS name FROM part"
+_add("implied_consensus", """SELECT job_id, period, D + CASE WHEN job_id % 10 = 0 THEN 250 ELSE 0 END::DOUBLE AS value,
+       (2 * (job_id % 10 <> 0)::INT + (abs(floor(D * 100 / C) * C / 100 - (D + CASE WHEN job_id % 10 = 0 THEN 250 ELSE 0 END)) <= greatest(2, C / 100))::INT)::BIGINT AS families,
+       (job_id % 10 <> 0 OR 500 <= 2) AND (abs(floor(D * 100 / C) * C / 100 - D) <= greatest(2, C / 100)) AS consistent FROM wip""")

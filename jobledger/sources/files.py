@@ -1,10 +1,13 @@
-"""Irregular schedule files: CSV with preamble and ragged rows, read by whole files; XLSX where openpyxl is there."""
+"""Irregular schedule files: CSV with preamble and ragged rows, and XLSX workbooks, read by whole files."""
 
 from __future__ import annotations
 
 import csv
 import io
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +31,76 @@ def _rows(content: bytes) -> list[list[str]]:
     return [row for row in csv.reader(io.StringIO(text), delimiter=best)]
 
 
+#: Number formats of a workbook that are percentages without being spelt out in it.
+PERCENT_FORMATS = {9: 0, 10: 2}
+
+
+def _printed(value: str, decimals: int | None) -> str:
+    """A cell's number as it prints: as a percentage, whole without decimals, others with two."""
+    try:
+        x = float(value)
+    except ValueError:
+        return value
+    if decimals is not None:
+        return f"{x * 100:.{decimals}f}".rstrip("0").rstrip(".") + "%" if decimals else f"{x * 100:.0f}%"
+    return f"{x:.0f}" if x == int(x) else f"{x:.2f}"
+
+
+def _sheets(content: bytes) -> Iterator[list[list[str]]]:
+    """Grids of a workbook's sheets, from its XML parts."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = set(book.namelist())
+        part = lambda name: ElementTree.fromstring(book.read(name)) if name in names else ElementTree.Element("none")
+        shared = ["".join(x.text or "" for x in item.iter() if local(x) == "t") for item in part("xl/sharedStrings.xml")]
+        styles = part("xl/styles.xml")
+        codes = {int(x.get("numFmtId", 0)): x.get("formatCode", "") for x in styles.iter() if local(x) == "numFmt"}
+        percent: list[int | None] = []
+        for group in (x for x in styles if local(x) == "cellXfs"):
+            for x in group:
+                k = int(x.get("numFmtId", 0))
+                code = codes.get(k, "")
+                percent.append(PERCENT_FORMATS.get(k, len(code.partition(".")[2].partition("%")[0]) if "%" in code else None))
+        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n))):
+            rows: list[list[str]] = []
+            for row in (x for x in part(name).iter() if local(x) == "row"):
+                cells: dict[int, str] = {}
+                for c in row:
+                    column = 0
+                    for letter in re.sub(r"[^A-Z]", "", c.get("r", "")):
+                        column = column * 26 + ord(letter) - 64
+                    value = next((x.text or "" for x in c if local(x) == "v"), "")
+                    if c.get("t") == "s":
+                        value = shared[int(value)] if value else ""
+                    elif c.get("t") == "inlineStr":
+                        value = "".join(x.text or "" for x in c.iter() if local(x) == "t")
+                    elif c.get("t") in (None, "n") and value:
+                        style = int(c.get("s", 0))
+                        value = _printed(value, percent[style] if style < len(percent) else None)
+                    cells[(column or len(cells) + 1) - 1] = value
+                rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
+            yield rows
+
+
+def _best_sheet(content: bytes) -> list[list[str]]:
+    """The sheet with the most rows of four numbers or more; of equals the first.  A file that is no workbook has no rows."""
+    numeric = lambda c: re.fullmatch(r"[$(-]*[\d.,]+[)%]*", c.strip()) is not None
+    try:
+        sheets = list(_sheets(content))
+    except (zipfile.BadZipFile, ElementTree.ParseError):
+        return []
+    return max(sheets, key=lambda rows: sum(sum(map(numeric, r)) >= 4 for r in rows), default=[])
+
+
 def grids(files: DataFrame) -> DataFrame:
-    """path, row number and cells of every CSV-like file."""
+    """path, row number and cells of every CSV-like file and workbook (its best sheet)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([(p, k, row) for p, c in zip(part["path"], part["content"], strict=True) for k, row in enumerate(_rows(bytes(c)))], columns=["path", "row", "cells"])
+            read = ((p, _best_sheet(bytes(c)) if kind == "xlsx" else _rows(bytes(c))) for p, c, kind in zip(part["path"], part["content"], part["type"], strict=True))
+            yield pd.DataFrame([(p, k, row) for p, rows in read for k, row in enumerate(rows)], columns=["path", "row", "cells"])
 
-    return files.where("type = 'csv'").select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+    return files.where("type in ('csv', 'xlsx')").select("path", "content", "type").mapInPandas(run, "path string, row int, cells array<string>")
 
 
 def tables(grid: DataFrame, least_numeric: int = 4, least_header: int = 3, look_back: int = 7) -> DataFrame:
