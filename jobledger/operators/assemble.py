@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobledger.operators.layout import repeats_header
 from jobledger.operators.portfolio import KEYS
 
 
@@ -55,7 +56,7 @@ def assemble(fragments: DataFrame) -> DataFrame:
             if tables:
                 old, body = tables[-1]
                 if len(old) == len(headers) and (old == headers or not any(headers)):
-                    body += [x for x in rows if x != old]
+                    body += [x for x in rows if not repeats_header(tuple(c or "" for c in x), tuple(h or "" for h in old))]
                     continue
                 if len(body) == len(rows) and rows and not set(old) & set(headers):
                     tables[-1] = (old + headers, [a + b for a, b in zip(body, rows, strict=True)])
@@ -72,9 +73,10 @@ def overlay(base: DataFrame, edits: DataFrame, keys: list[str], value: str) -> D
     return base.join(newest, keys, "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
 
 
-def schema_vote(tables: DataFrame, words: DataFrame) -> DataFrame:
-    """Schedule type told by texts (table_id, place, text): titles before headers; two types at once are unresolved."""
-    hits = tables.crossJoin(F.broadcast(words)).where(F.contains(F.lower("text"), F.col("word")))  # a fixed dictionary of a few words
+def schema_vote(tables: DataFrame, words: dict[str, str]) -> DataFrame:
+    """Schedule type told by texts (table_id, place, text) that hold a word of the fixed dictionary (word -> type): titles before headers; two types at once are unresolved."""
+    known = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(kind).alias("type")) for w, kind in words.items()])
+    hits = tables.select("table_id", "place", F.explode(F.filter(known, lambda w: F.contains(F.lower(F.col("text")), w["word"]))["type"]).alias("type"))
     by = hits.groupBy("table_id", "place").agg(F.min("type").alias("lo"), F.max("type").alias("hi"))
     one = by.groupBy("table_id").agg(F.min_by(F.struct("lo", "hi"), F.when(F.col("place") == "title", 0).otherwise(1)).alias("t"))
     return one.select("table_id", F.when(F.col("t.lo") == F.col("t.hi"), F.col("t.lo")).otherwise("unresolved").alias("type"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobledger.functions.registry import CC_SUMS, CELL, RULES, Rule, usable
@@ -19,13 +21,12 @@ def failures(df: DataFrame) -> DataFrame:
     """Rows that break an identity by more than rounding can explain, once for each: rule, family, residual, tolerance.  Rules that hold leave the row before anything is multiplied."""
     tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), a.alias("residual"), b.alias("tolerance")) for r in usable(df.columns) for a, b in [_test(r)]]
     bad = F.filter(F.array(*tests), lambda t: F.abs(t["residual"]) > t["tolerance"])
-    return df.withColumn("__t", F.explode(bad)).select(*df.columns, "__t.*")
+    return df.where(breaks(df.columns)).withColumn("__t", F.explode(bad)).select(*df.columns, "__t.*")
 
 
-def breaks(columns: list[str]):
-    """Whether a row breaks an identity of these columns; an expression, so no join finds such rows."""
-    tests = [F.coalesce(F.abs(a) > b, F.lit(False)) for r in usable(columns) for a, b in [_test(r)]]
-    return F.array_contains(F.array(*tests), True)
+def breaks(columns: list[str]) -> Column:
+    """Whether a row breaks an identity of these columns; an expression in generated code, so no join finds such rows."""
+    return reduce(Column.__or__, [F.coalesce(F.abs(a) > b, F.lit(False)) for r in usable(columns) for a, b in [_test(r)]])
 
 
 def witnesses(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -57,7 +58,7 @@ def culprits(df: DataFrame) -> DataFrame:
     held = {r.name: (F.abs(a) <= b) for r in rules for a, b in [_test(r)]}
     names = {r.name: F.array(*[F.lit(c) for c in inputs[r.name]]) for r in rules}
     some = lambda good: F.filter(F.array(*[F.when(held[r.name] if good else ~held[r.name], names[r.name]) for r in rules]), lambda x: x.isNotNull())
-    rows = df.select(*KEYS, "job_id", some(False).alias("b"), F.flatten(some(True)).alias("clear")).where(F.size("b") > 0)
+    rows = df.where(breaks(df.columns)).select(*KEYS, "job_id", some(False).alias("b"), F.flatten(some(True)).alias("clear")).where(F.size("b") > 0)
     shared = F.aggregate(F.slice("b", F.lit(2), F.greatest(F.size("b"), F.lit(1))), F.get("b", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
     return rows.select(*KEYS, "job_id", F.array_sort(F.array_except(shared, "clear")).alias("culprits"), F.size("b").alias("failed"))
 

@@ -78,37 +78,35 @@ def _number(text: Column, eu: Column) -> Column:
     loose = (F.size(ahead) == 2) & _digits(ahead[0]) & _halves(F.get(ahead, F.lit(1)), ".", 400) & (F.length(F.substring_index(F.get(ahead, F.lit(1)), ".", 1)) == 3)
     us_form = F.when(is_us(text) | loose, F.replace(text, F.lit(","), F.lit(""))).when(plain, text)
     eu_form = F.when(is_european(text), F.translate(text, ",.", ".")).when(plain, text)
-    return F.when(eu, eu_form).otherwise(us_form).try_cast("double")
+    return F.when(_digits(text), text).when(eu, eu_form).otherwise(us_form).try_cast("double")
 
 
 def parse_cell(raw: Column, eu: Column | None = None, repair: bool = True) -> Column:
     """struct(value, repaired, percent): blanks and dashes are 0, parentheses and a minus negate, % is noted, letters read for digits are repaired after a strict reading fails; unreadable is null."""
     eu = F.lit(False) if eu is None else eu
     without_sign = lambda x: F.trim(F.ltrim(x, F.lit(CURRENCY + " ")))
+    s = clean(F.coalesce(raw, F.lit("")))
+    bare = without_sign(s)
+    wrapped = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
+    inner = F.rtrim(F.ltrim(F.when(wrapped, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare), F.lit(CURRENCY + " ")), F.lit(" "))
 
-    def of_inner(s: Column, wrapped: Column, inner: Column) -> Column:
-        zero = (s == "") | inner.isin("", *DASHES)
-        minus = inner.startswith("-")
-        digits = F.replace(F.rtrim(without_sign(F.ltrim(inner, F.lit("-"))), F.lit("% ")), F.lit(" "), F.lit(""))
+    def of_inner(x: Column) -> Column:
+        zero = x["i"].isin("", *DASHES)
+        digits = F.replace(F.rtrim(F.ltrim(x["i"], F.lit("-" + CURRENCY + " ")), F.lit("% ")), F.lit(" "), F.lit(""))
 
-        def of_digits(d: Column) -> Column:
-            strict = _number(d, eu)
-            mended = let(F.translate(d, LETTERS, DIGITS), lambda m: _number(m, eu)) if repair else F.lit(None).cast("double")
-            return let(F.struct(strict.alias("a"), mended.alias("b")), of_values)
+        def of_strict(n: Column) -> Column:
+            mended = F.when(n["a"].isNull(), let(F.translate(n["d"], LETTERS, DIGITS), lambda m: _number(m, eu))) if repair else F.lit(None).cast("double")
+            return let(mended, lambda m: of_values(F.coalesce(n["a"], m), n["a"].isNull() & m.isNotNull()))
 
-        def of_values(n: Column) -> Column:
-            value = F.coalesce(n["a"], n["b"])
-            signed = F.when(zero, F.lit(0.0)).when(wrapped != minus, -value).otherwise(value)
-            return F.struct(signed.alias("value"), (~zero & n["a"].isNull() & n["b"].isNotNull()).alias("repaired"), (~zero & F.contains(inner, F.lit("%"))).alias("percent"))
+        def of_values(value: Column, repaired: Column) -> Column:
+            signed = F.when(x["w"] != x["i"].startswith("-"), -value).otherwise(value)
+            return F.struct(signed.alias("value"), repaired.alias("repaired"), F.contains(x["i"], F.lit("%")).alias("percent"))
 
-        return let(digits, of_digits)
+        found = let(let(digits, lambda d: F.struct(d.alias("d"), _number(d, eu).alias("a"))), of_strict)
+        nothing = F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("repaired"), F.lit(False).alias("percent"))
+        return F.when(zero, nothing).otherwise(found)
 
-    def of_bare(s: Column, bare: Column) -> Column:
-        wrapped = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
-        inner = F.when(wrapped, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
-        return let(F.struct(wrapped.alias("w"), without_sign(inner).alias("i")), lambda x: of_inner(s, x["w"], x["i"]))
-
-    return let(clean(F.coalesce(raw, F.lit(""))), lambda s: let(without_sign(s), lambda bare: of_bare(s, bare)))
+    return let(F.struct(wrapped.alias("w"), inner.alias("i")), of_inner)
 
 
 def decimal_votes(df: DataFrame, keys: list[str], column: str) -> DataFrame:

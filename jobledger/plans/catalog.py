@@ -238,7 +238,7 @@ def header_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def schema_text_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([("work in progress", "wip"), ("in process", "wip"), ("completed", "cc")], "word string, type string")
+    words = {"work in progress": "wip", "in process": "wip", "completed": "cc"}
     texts = spark.createDataFrame([(1, "title", "Work in Progress Schedule"), (1, "header", "Completed to date"), (2, "header", "Completed Contracts"), (3, "title", "Completed and Contracts in Process"), (4, "title", "Misc")], "table_id int, place string, text string")
     return assemble.schema_vote(texts, words)
 
