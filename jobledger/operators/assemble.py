@@ -56,7 +56,7 @@ def assemble(fragments: DataFrame) -> DataFrame:
             if tables:
                 old, body = tables[-1]
                 if len(old) == len(headers) and (old == headers or not any(headers)):
-                    body += [x for x in rows if not repeats_header(tuple(c or "" for c in x), tuple(h or "" for h in old))]
+                    body += [x for x in rows if x != old and not repeats_header(tuple(c or "" for c in x), tuple(h or "" for h in old))]
                     continue
                 if len(body) == len(rows) and rows and not set(old) & set(headers):
                     tables[-1] = (old + headers, [a + b for a, b in zip(body, rows, strict=True)])
