@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from jobledger.llm.components import components
 from jobledger.llm.simhash import whole_units
-from jobledger.llm.tables import checkpoint, in_units, join_unique, partitions, passes, sieve
+from jobledger.llm.tables import checkpoint, in_units, join_unique, partitions, passes, release, sieve
 from jobledger.llm.textkit import _INV, _POW, batches, column_bytes, mix, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -317,10 +317,13 @@ def _verified(similarity: float):
 
 def paragraph_roots(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(roots: node, root over names of paragraphs that link with a different one, but the roots themselves; again: names that occur more than once, as p)."""
-    n = partitions(texts.sparkSession)
+    spark = texts.sparkSession
+    n = partitions(spark)
     bits = (4 * n - 1).bit_length()
     packed = texts.mapInArrow(_packed(bits), "unit int, keys binary, names binary")
     met = checkpoint(packed.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_met(bits), "named boolean, k long"))
+    del packed
+    release(spark)
     again = met.where("named").select(F.col("k").alias("p"))
     crowded = met.where("not named").select(F.col("k").alias("key"))
     table = sieve(crowded, "key")
@@ -335,7 +338,11 @@ def paragraph_roots(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[D
         return pa.RecordBatch.from_arrays([pa.array(p.name[pick].view(np.int64)), p.sets(pick), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[good].view(np.int64)))], names=["p", "s", "keys"])
 
     found = texts.mapInArrow(_each(members), "p long, s binary, keys array<long>").groupBy("p").agg(F.first("s").alias("s"), F.first("keys").alias("keys"))
-    dealt = checkpoint(found.select("p", "s", F.explode("keys").alias("key")).join(crowded, "key", "left_semi"))
+    found = checkpoint(found)
+    release(spark)
+    dealt = found.select("p", "s", F.explode("keys").alias("key"))
+    if table is None:  # else the sieve has let few others pass, which are alone in their buckets
+        dealt = checkpoint(dealt.join(crowded, "key", "left_semi"))
     links = in_units(dealt, "key", ["p"], UNIT).select("unit", "part", "p", "s").mapInArrow(_verified(similarity), "a long, b long")
     return components(links), again
 
