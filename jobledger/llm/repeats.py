@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobledger.llm.simhash import whole_units
-from jobledger.llm.tables import checkpoint, join_unique, partitions, passes, sieve
+from jobledger.llm.tables import checkpoint, join_unique, partitions, passes, release, sieve
 from jobledger.llm.textkit import _INV, _POW, column_bytes, mix
 
 LENGTH, GRAM = 200, 64
@@ -376,6 +376,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     counted = few.mapInArrow(_each("__text", keep, length, gram, _counted), "h long, full long")
     often = checkpoint(counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("full") != F.max("full")).alias("mixed")).where("n > 1"))
+    release(spark)
     many = checkpoint(often.where("mixed").where(F.col("n") > HOT).select("h"))
     twice = sieve(often, "h")
     crowded = None if many.isEmpty() else sieve(many, "h")
@@ -387,6 +388,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met = few.mapInArrow(_each("__text", keep, length, gram, _surroundings(crowded, None, length)), shape)
         result = result.unionByName(_of_hot(met, length, gram))
     result = checkpoint(result)
+    release(spark)
     placed = few.mapInArrow(_each("__text", keep, length, gram, _placed(twice)), f"h long, full long, `{id_col}` {kind}, __th long, start long, more int")
     joined = placed.join(result, ["h", "full"])
     pairs = F.transform(F.sequence(F.lit(0), F.size("ranges") - 1, F.lit(2)), lambda k: F.struct((F.col("start") + F.get("ranges", k)).alias("a"), (F.col("start") + F.get("ranges", k + 1) + length).alias("z")))
@@ -412,6 +414,7 @@ def with_kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(id_col, F.xxhash64(F.col(text_col)).alias("__h"), F.col(text_col).alias("__text"))
     s = checkpoint(repeated_spans(docs, id_col, text_col, length))
+    release(docs.sparkSession)
     # texts without a span need not move: a sieve of the others' hashes tells most of them
     found = sieve(s, "__th")
 
