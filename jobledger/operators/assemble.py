@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,24 +47,37 @@ def with_provenance(findings: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def assemble(fragments: DataFrame) -> DataFrame:
-    """Logical tables of each document from its page grids (doc_id, chunk_id, headers, rows): equal headers continue a table and repeated header rows go; a grid of as many rows, with other headers, widens it; else a new table begins."""
+    """Logical tables of each document from its page grids (doc_id, chunk_id, headers, rows): equal headers continue a table and repeated header rows go; a grid of as many rows, with other headers, widens it; else a new table begins.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    Pages of one chunk_id follow each other by content.  A document's grids travel as one row in page order, so Python folds batches of documents instead of a group for each.
+    """
+
+    def fold(pages) -> list[tuple[list, list]]:
         tables: list[tuple[list, list]] = []
-        for r in part.sort_values("chunk_id").itertuples():
-            headers, rows = list(r.headers), [list(x) for x in r.rows]
+        for page in pages:
+            headers, rows = list(page["headers"]), [list(x) for x in page["rows"]]
             if tables:
                 old, body = tables[-1]
                 if len(old) == len(headers) and (old == headers or not any(headers)):
-                    body += [x for x in rows if x != old and not repeats_header(tuple(c or "" for c in x), tuple(h or "" for h in old))]
+                    named = tuple(h or "" for h in old)
+                    body += [x for x in rows if x != old and not repeats_header(tuple(c or "" for c in x), named)]
                     continue
                 if len(body) == len(rows) and rows and not set(old) & set(headers):
                     tables[-1] = (old + headers, [a + b for a, b in zip(body, rows, strict=True)])
                     continue
             tables.append((headers, rows))
-        return pd.DataFrame([(part["doc_id"].iloc[0], k, h, b) for k, (h, b) in enumerate(tables)], columns=["doc_id", "table_id", "headers", "rows"])
-
-    return fragments.groupBy("doc_id").applyInPandas(run, "doc_id long, table_id int, headers array<string>, rows array<array<string>>")
+        return tables
+
+    def run(batches):
+        for batch in batches:
+            docs = zip(batch.column("doc_id").to_pylist(), batch.column("pages").to_pylist(), strict=True)
+            found = [(doc, k, headers, rows) for doc, pages in docs for k, (headers, rows) in enumerate(fold(pages))]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "table_id", "headers", "rows"])
+
+    pages = F.sort_array(F.collect_list(F.struct("chunk_id", "headers", "rows"))).alias("pages")
+    return fragments.groupBy("doc_id").agg(pages).mapInArrow(run, "doc_id long, table_id int, headers array<string>, rows array<array<string>>")
 
 
 def overlay(base: DataFrame, edits: DataFrame, keys: list[str], value: str) -> DataFrame:

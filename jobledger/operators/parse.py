@@ -364,3 +364,13 @@ def checked_totals(values: DataFrame, rows: DataFrame, keys: list[str], row: str
     plain = F.abs(F.col("stated") - F.col("computed")) <= limit
     more = F.abs(F.col("stated") - F.col("computed") - F.col("subtotals")) <= limit
     return s.select(*keys, position, "stated", "computed", (plain | more).alias("matches"), (more & ~plain).alias("includes_subtotals"))
+
+
+def column_shapes(values: DataFrame, keys: list[str], position: str = "col", row: str = "row") -> DataFrame:
+    """Whether all columns of a table have as many rows as its first: keys, columns, rows, and an error that names the first column that differs, else null.  A table may enter the role search without an error only."""
+    each = values.groupBy(*keys, position).agg(F.count(row).alias("n"))
+    first = F.min_by("n", position)
+    shapes = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("columns"), first.alias("rows"), F.sort_array(F.collect_list(F.struct(position, "n"))).alias("all"))
+    odd = F.get(F.filter("all", lambda c: c["n"] != F.col("rows")), F.lit(0))
+    error = F.when(odd.isNotNull(), F.format_string("column %d has %d rows, the first has %d", odd[position], odd["n"], F.col("rows")))
+    return shapes.select(*keys, "columns", "rows", error.alias("error"))

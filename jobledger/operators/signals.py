@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobledger.functions.scalars import clamp, ramp, ratio
@@ -31,6 +31,14 @@ def trapped_cash(jobs: DataFrame) -> DataFrame:
     return _kept(some, ramp(ratio("U", left), *UNDERBILLED), F.col("U"))
 
 
+def trapped_no_runway(jobs: DataFrame) -> DataFrame:
+    """The variant that counts underbilled jobs with next to nothing left to earn as the worst case instead of leaving them out; jobs beyond 102 % don't count."""
+    left = F.col("V") - F.col("E")
+    some = with_shape(jobs).where((F.col("U") >= LEAST_DOLLARS) & (F.col("P") <= 1.02))
+    ended = (F.col("P") >= 0.995) | (left <= F.greatest(F.lit(1.0), F.abs(F.col("V")).cast("double") * F.lit(0.005)))
+    return _kept(some, F.when(ended, F.lit(1.0)).otherwise(ramp(ratio("U", left), *UNDERBILLED)), F.col("U"))
+
+
 def job_borrow(jobs: DataFrame) -> DataFrame:
     some = with_shape(jobs).where(F.col("O") >= LEAST_DOLLARS)
     return _kept(some, F.when(F.col("C") <= F.col("D"), F.lit(1.0)).otherwise(ramp(ratio("O", F.col("C") - F.col("D")), *OVERBILLED)), F.col("O"))
@@ -40,7 +48,7 @@ def job_borrow_unbilled(jobs: DataFrame) -> DataFrame:
     """The variant by cost that the unbilled contract can't pay: max(cost to complete - (V - B), 0) / cost to complete."""
     ctc = F.col("C") - F.col("D")
     short = F.greatest(ctc - (F.col("V") - F.col("B")), F.lit(0).cast("long"))
-    some = with_shape(jobs).where((ctc > 0) & (F.col("O") >= LEAST_DOLLARS))
+    some = with_shape(jobs).where((ctc > 0) & (short >= LEAST_DOLLARS))
     return _kept(some, ramp(ratio(short, ctc), *OVERBILLED), short)
 
 
@@ -90,6 +98,14 @@ def unrecognized_fade(jobs: DataFrame, earned: str = "E") -> DataFrame:
     return _kept(found, clamp(F.col("P")) * clamp(F.col("gap") / F.lit(FADE_FULL)), F.floor(F.col("gap") * e).cast("long"))
 
 
+def numeric_fade(jobs: DataFrame) -> DataFrame:
+    """unrecognized_fade for books whose earned revenue says more than V*D/C does: on some job the two differ by more than 1 and half a percent of the contract.  The numbers decide, whatever column E came from."""
+    implied = F.when(F.col("C") > 0, F.col("V").cast("double") * F.col("D") / F.col("C")).otherwise(0.0)
+    differs = F.abs(F.col("E") - implied) > F.greatest(F.lit(1.0), F.col("V").cast("double") * F.lit(0.005))
+    telling = jobs.groupBy(*KEYS).agg(F.max(differs).alias("differs")).where("differs").select(*KEYS)
+    return unrecognized_fade(jobs.join(telling, list(KEYS), "left_semi"))
+
+
 def cc_losses(cc: DataFrame) -> DataFrame:
     return cc.where("GT < 0").select(*KEYS, "job_id", F.lit(0.9).alias("severity"), (-F.col("GT")).alias("dollars"))
 
@@ -116,6 +132,13 @@ def summary(jobs: DataFrame) -> DataFrame:
     return all_jobs(jobs).groupBy(*KEYS, "signal").agg(F.max("severity").alias("severity"), F.sum("dollars").alias("dollars"), F.count(F.lit(1)).alias("jobs"))
 
 
+def ranked(jobs: DataFrame) -> DataFrame:
+    """A book's signals in reading order: by severity to three decimals, then by dollars."""
+    s = summary(jobs).withColumn("severity", F.round("severity", 3))
+    w = Window.partitionBy(*KEYS).orderBy(F.desc("severity"), F.desc("dollars"), "signal")
+    return s.select(*KEYS, "signal", "severity", "dollars", F.row_number().over(w).alias("rank"))
+
+
 def top_jobs(jobs: DataFrame, k: int = 5) -> DataFrame:
     """The k most severe jobs of each book and signal (a top-k report)."""
     return top(all_jobs(jobs), (*KEYS, "signal"), [F.desc("severity"), F.desc("job_id")], k).select(*KEYS, "signal", "job_id", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobledger.operators import accepted, certify, contracts, identify, layout, parse, portfolio
+from jobledger.plans import reports
 from jobledger.plans.catalog import KEYS, query
 from jobledger.sources import tables as t
 
@@ -179,3 +180,25 @@ def emitted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = certify.witnesses(wide).select(*KEYS, "checked", "held", F.explode(inputs[F.col("rule")]).alias("variable"))
     findings = certify.culprits(wide).select(*KEYS, F.explode("culprits").alias("variable"))
     return accepted.emitted(mapping, held, findings, KEYS).select(*KEYS, "col", "variable", "status")
+
+
+@query
+def printed_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every schedule as it prints, with its line of totals."""
+    j = portfolio.billing(t.wip_jobs(spark, sf_dir)).withColumns({"N": F.col("B") - F.col("E"), "P": F.when(F.col("C") != 0, F.floor(F.col("D") * 1000 / F.col("C")) / 1000)})
+    return reports.printed_schedule(j.drop("Q"), KEYS, "job_id", F.concat(F.lit("Job "), F.col("job_id").cast("string")))
+
+
+@query
+def finite_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of which some are infinite or no number: these become null."""
+    odd = F.when(F.col("job_id") % 5 == 0, "Infinity").when(F.col("job_id") % 5 == 1, "-Infinity").when(F.col("job_id") % 5 == 2, "NaN").otherwise(F.col("V").cast("string"))
+    return t.wip_jobs(spark, sf_dir).select("job_id", "period", parse.finite(odd.cast("double")).alias("value"))
+
+
+@query
+def column_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose columns have unequal numbers of rows; the fourth and sixth column of each fifth portfolio lose the rows of every third job."""
+    cells = t.cells(t.wip_jobs(spark, sf_dir))
+    lost = (F.col("portfolio_id") % 5 == 0) & F.col("mcol").isin(3, 5) & (F.col("job_id") % 3 == 0)
+    return parse.column_shapes(cells.where(~lost), KEYS, "mcol", "job_id")

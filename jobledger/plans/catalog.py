@@ -50,6 +50,9 @@ _on_jobs("signal_early_concentration", signals.early_concentration)
 _on_jobs("signal_margin_outlier", signals.margin_outlier)
 _on_jobs("signal_thin_backlog", signals.thin_margin_backlog)
 _on_jobs("signal_job_concentration", signals.job_concentration)
+_on_jobs("signal_trapped_no_runway", signals.trapped_no_runway)
+_on_jobs("signal_numeric_fade", lambda j: signals.numeric_fade(j.withColumn("E", F.when((F.col("job_id") % 7 == 0) & (F.col("portfolio_id") % 2 == 0), F.floor(F.col("E") * 9 / 10).cast("long")).otherwise(F.col("E")))))
+_on_jobs("signal_ranking", signals.ranked)
 _on_jobs("signal_unrecognized_fade", lambda j: signals.unrecognized_fade(j.withColumn("E", F.when(F.col("job_id") % 7 == 0, F.floor(F.col("E") * 9 / 10).cast("long")).otherwise(F.col("E")))))
 _on_jobs("signal_summary", signals.summary)
 _on_jobs("signal_top_jobs", signals.top_jobs)
@@ -317,7 +320,9 @@ def assemble_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = t.table(spark, sf_dir, "lineitem")
     rows = F.array(F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")))
     fragments = items.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_id"), F.array(F.lit("Part"), F.lit("Quantity")).alias("headers"), rows.alias("rows"))
-    return assemble.assemble(fragments)
+    tables = assemble.assemble(fragments)
+    texts = F.transform("rows", lambda r: F.concat_ws("|", r))
+    return tables.select("doc_id", "table_id", F.concat_ws("|", "headers").alias("headers"), F.concat_ws(";", texts).alias("rows"))
 
 
 def queries() -> dict[str, Query]:

@@ -79,7 +79,8 @@ SELECT job_id, period, n AS flags, CASE WHEN n = 0 THEN 'green' WHEN n = 1 THEN
 
 _signal("signal_trapped_cash", _ramp(f"{_D('U')} / (V - E)", 0.5, 1.0), "U", "U >= 10000 AND P < 0.995 AND V - E > greatest(1.0, abs(V)::DOUBLE * 0.005::DOUBLE)")
 _signal("signal_job_borrow", f"CASE WHEN C <= D THEN 1.0::DOUBLE ELSE {_ramp(_D('O') + ' / (C - D)', 0.15, 0.75)} END", "O", "O >= 10000")
-_signal("signal_job_borrow_unbilled", _ramp(f"{_D('greatest((C - D) - (V - B), 0)')} / (C - D)", 0.15, 0.75), "greatest((C - D) - (V - B), 0)", "C > D AND O >= 10000")
+_signal("signal_job_borrow_unbilled", _ramp(f"{_D('greatest((C - D) - (V - B), 0)')} / (C - D)", 0.15, 0.75), "greatest((C - D) - (V - B), 0)", "C > D AND greatest((C - D) - (V - B), 0) >= 10000")
+_signal("signal_trapped_no_runway", f"CASE WHEN P >= 0.995 OR V - E <= greatest(1.0, abs(V)::DOUBLE * 0.005::DOUBLE) THEN 1.0::DOUBLE ELSE {_ramp(_D('U') + ' / (V - E)', 0.5, 1.0)} END", "U", "U >= 10000 AND P <= 1.02")
 _signal("signal_loss_jobs", _clamp("-m / 0.05::DOUBLE"), "C - V", "m < 0")
 _signal("signal_cost_overrun", _clamp(f"({_D('D - C')} / greatest(C, 1)) / 0.1::DOUBLE"), "D - C", "D > C", "bad")
 
@@ -99,6 +100,10 @@ _add("signal_margin_outlier", f"SELECT * FROM (SELECT portfolio_id, period, job_
 _gap = "(m - (CAST(F AS DOUBLE) - D) / CAST(F AS DOUBLE))"
 _add("signal_unrecognized_fade", f"""SELECT * FROM (SELECT portfolio_id, period, job_id, {_clamp('P')} * {_clamp(_gap + ' / 0.08::DOUBLE')} AS severity, CAST(floor({_gap} * CAST(F AS DOUBLE)) AS BIGINT) AS dollars
   FROM (SELECT *, CASE WHEN job_id % 7 = 0 THEN CAST(floor(E * 9 / 10) AS BIGINT) ELSE E END AS F FROM shape) WHERE P >= 0.35 AND F > 0 AND {_gap} * CAST(F AS DOUBLE) >= 10000) WHERE severity > 0.12""")
+_add("signal_numeric_fade", f"""SELECT * FROM (SELECT portfolio_id, period, job_id, {_clamp('P')} * {_clamp(_gap + ' / 0.08::DOUBLE')} AS severity, CAST(floor({_gap} * CAST(F AS DOUBLE)) AS BIGINT) AS dollars
+  FROM (SELECT *, bool_or(abs(F - CASE WHEN C > 0 THEN CAST(V AS DOUBLE) * D / C ELSE 0 END) > greatest(1.0, V::DOUBLE * 0.005::DOUBLE)) OVER (PARTITION BY portfolio_id, period) AS told
+        FROM (SELECT *, CASE WHEN job_id % 7 = 0 AND portfolio_id % 2 = 0 THEN CAST(floor(E * 9 / 10) AS BIGINT) ELSE E END AS F FROM shape))
+  WHERE told AND P >= 0.35 AND F > 0 AND {_gap} * CAST(F AS DOUBLE) >= 10000) WHERE severity > 0.12""")
 _union = " UNION ALL ".join(f"SELECT '{n}' AS signal, portfolio_id, period, job_id, {s} AS severity, {d} AS dollars FROM {f} WHERE {w}" for n, s, d, f, w in (
     ("trapped_cash", _ramp(f"{_D('U')} / (V - E)", 0.5, 1.0), "U", "shape", "U >= 10000 AND P < 0.995 AND V - E > greatest(1.0, abs(V)::DOUBLE * 0.005::DOUBLE)"),
     ("job_borrow", f"CASE WHEN C <= D THEN 1.0::DOUBLE ELSE {_ramp(_D('O') + ' / (C - D)', 0.15, 0.75)} END", "O", "shape", "O >= 10000"),
@@ -107,6 +112,8 @@ _union = " UNION ALL ".join(f"SELECT '{n}' AS signal, portfolio_id, period, job_
     ("margin_outlier", _outlier, "V - C", "mo", "true"),
 ))
 _add("signal_summary", f"SELECT portfolio_id, period, signal, max(severity) AS severity, sum(dollars)::BIGINT AS dollars, count(*) AS jobs FROM ({_union}) WHERE severity > 0.12 GROUP BY portfolio_id, period, signal", _book_q)
+_add("signal_ranking", f"""SELECT *, row_number() OVER (PARTITION BY portfolio_id, period ORDER BY severity DESC, dollars DESC, signal) AS rank FROM (
+  SELECT portfolio_id, period, signal, round(max(severity), 3) AS severity, sum(dollars)::BIGINT AS dollars FROM ({_union}) WHERE severity > 0.12 GROUP BY portfolio_id, period, signal)""", _book_q)
 _add("signal_top_jobs", f"SELECT portfolio_id, period, signal, job_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, period, signal ORDER BY severity DESC, job_id DESC) AS r FROM ({_union}) WHERE severity > 0.12) WHERE r <= 5", _book_q)
 
 _add("cc_jobs", "SELECT * FROM cc")
@@ -293,3 +300,12 @@ ORACLE["label_identities"] = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '
 _add("implied_consensus", """SELECT job_id, period, D + CASE WHEN job_id % 10 = 0 THEN 250 ELSE 0 END::DOUBLE AS value,
        (2 * (job_id % 10 <> 0)::INT + (abs(floor(D * 100 / C) * C / 100 - (D + CASE WHEN job_id % 10 = 0 THEN 250 ELSE 0 END)) <= greatest(2, C / 100))::INT)::BIGINT AS families,
        (job_id % 10 <> 0 OR 500 <= 2) AND (abs(floor(D * 100 / C) * C / 100 - D) <= greatest(2, C / 100)) AS consistent FROM wip""")
+_shown = lambda x: f"CASE WHEN {x} < 0 THEN format('({{:,}})', abs({x})::BIGINT) ELSE format('{{:,}}', {x}::BIGINT) END"
+_lines = {"V": "V", "C": "C", "G": "G", "D": "D", "E": "E", "B": "B", "U": "greatest(E - B, 0)", "O": "greatest(B - E, 0)", "N": "B - E"}
+_add("printed_schedule", f"""SELECT portfolio_id, period, row_number() OVER (PARTITION BY portfolio_id, period ORDER BY job_id) AS line, 'Job ' || job_id AS label, {', '.join(f'{_shown(x)} AS "{v}"' for v, x in _lines.items())},
+       CASE WHEN C <> 0 THEN printf('%.1f', floor(D * 1000 / C) / 1000 * 100) || '%' ELSE chr(8212) END AS "P" FROM wip
+UNION ALL SELECT portfolio_id, period, count(*) + 1, 'Total', {', '.join(_shown(f'sum({x})') for x in _lines.values())}, '' FROM wip GROUP BY portfolio_id, period""")
+_add("finite_values", "SELECT job_id, period, CASE WHEN job_id % 5 >= 3 THEN V::DOUBLE END AS value FROM wip")
+_add("column_shapes", """SELECT portfolio_id, period, 7 AS columns, n AS rows, CASE WHEN lost > 0 THEN 'column 3 has ' || (n - lost) || ' rows, the first has ' || n END AS error
+FROM (SELECT portfolio_id, period, count(*) AS n, count(*) FILTER (portfolio_id % 5 = 0 AND job_id % 3 = 0) AS lost FROM wip GROUP BY portfolio_id, period)""")
+ORACLE["assemble_tables"] = "SELECT l_orderkey AS doc_id, 0 AS table_id, 'Part|Quantity' AS headers, string_agg(l_partkey || '|' || l_quantity, ';' ORDER BY l_linenumber, l_partkey::VARCHAR, l_quantity::VARCHAR) AS rows FROM lineitem GROUP BY l_orderkey"
