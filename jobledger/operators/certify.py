@@ -20,13 +20,15 @@ def _test(r: Rule) -> tuple:
 def failures(df: DataFrame) -> DataFrame:
     """Rows that break an identity by more than rounding can explain, once for each: rule, family, residual, tolerance.  Rules that hold leave the row before anything is multiplied."""
     tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), a.alias("residual"), b.alias("tolerance")) for r in usable(df.columns) for a, b in [_test(r)]]
+    if not tests:
+        return df.where(F.lit(False)).select(*df.columns, F.lit("").alias("rule"), F.lit("").alias("family"), F.lit(0.0).alias("residual"), F.lit(0.0).alias("tolerance"))
     bad = F.filter(F.array(*tests), lambda t: F.abs(t["residual"]) > t["tolerance"])
     return df.where(breaks(df.columns)).withColumn("__t", F.explode(bad)).select(*df.columns, "__t.*")
 
 
 def breaks(columns: list[str]) -> Column:
     """Whether a row breaks an identity of these columns; an expression in generated code, so no join finds such rows."""
-    return reduce(Column.__or__, [F.coalesce(F.abs(a) > b, F.lit(False)) for r in usable(columns) for a, b in [_test(r)]])
+    return reduce(Column.__or__, [F.coalesce(F.abs(a) > b, F.lit(False)) for r in usable(columns) for a, b in [_test(r)]], F.lit(False))
 
 
 def witnesses(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobledger.functions.registry import CELL, usable
+from jobledger.functions.registry import CELL, RULES, Rule, usable
 from jobledger.functions.scalars import ratio
+from jobledger.operators.certify import failures
 from jobledger.operators.portfolio import KEYS, billing
 
 #: How far a value is from print, the weakest last.
@@ -35,6 +36,72 @@ def shadow_audit(df: DataFrame, column: str, derived, least: float = 0.8) -> Dat
     return s.where((F.col("differ") > 0) & ((F.col("rows") - F.col("differ")).cast("double") >= F.col("rows") * F.lit(least)))
 
 
+#: Variables that some schedules print with either sign.
+_EITHER_SIGN = ("U", "O")
+
+
+def _realizes(column: str, rule: Rule) -> tuple:
+    """(informative, differs, residual) of an unused column against the derived variable: rows where both are next to zero tell nothing."""
+    x = F.col(column).cast("double")
+    x = F.abs(x) if rule.output in _EITHER_SIGN else x
+    limit = rule.tolerance() + F.lit(CELL)
+    telling = F.coalesce((F.abs(rule.value()) > limit) | (F.abs(x) > limit), F.lit(False)) & x.isNotNull() & rule.value().isNotNull()
+    return telling, telling & (F.abs(x - rule.value()) > limit), x - rule.value()
+
+
+def _derivable(columns: list[str]) -> dict[str, Rule]:
+    """The money variables that no column of the schedule prints, each by its first identity."""
+    out: dict[str, Rule] = {}
+    for r in RULES:
+        if r.kind == "money" and r.output not in columns and set(r.inputs) <= set(columns):
+            out.setdefault(r.output, r)
+    return out
+
+
+def audited(df: DataFrame, unused: list[str], keys: tuple[str, ...] = KEYS, least_rows: int = 2, least: float = 0.8) -> DataFrame:
+    """Which derived variable an unused column prints: keys, column, variable, rows, differ.
+
+    It must hold on `least` of the telling rows (and `least_rows`), and not on all;
+    of several variables the best counts, and equally good ones none.  All pairs of
+    columns and variables are counted in one pass; null cells tell nothing.
+    """
+    tests = [(c, r) for c in unused for r in _derivable([x for x in df.columns if x not in unused]).values()]
+    counts = []
+    for k, (c, r) in enumerate(tests):
+        telling, differs, _ = _realizes(c, r)
+        counts += [F.count_if(telling).alias(f"n{k}"), F.count_if(differs).alias(f"d{k}")]
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r.output).alias("variable"), F.col(f"n{k}").alias("rows"), F.col(f"d{k}").alias("differ")) for k, (c, r) in enumerate(tests)]))
+    fit = F.col("rows") - F.col("differ")
+    met = df.groupBy(*keys).agg(*counts).select(*keys, rows.alias("t")).select(*keys, "t.*").where((F.col("differ") > 0) & (fit >= F.greatest(F.lit(least_rows).cast("long"), F.ceil(F.col("rows") * F.lit(least)))))
+    ranked = met.groupBy(*keys, "column").agg(F.sort_array(F.collect_list(F.struct(ratio(fit, F.col("rows")).alias("share"), fit.alias("fit"), "variable", "rows", "differ")), False).alias("a"))
+    first, second = F.col("a")[0], F.get("a", F.lit(1))
+    tied = F.coalesce((first["share"] == second["share"]) & (first["fit"] == second["fit"]), F.lit(False))
+    return ranked.where(~tied).select(*keys, "column", first["variable"].alias("variable"), first["rows"].alias("rows"), first["differ"].alias("differ"))
+
+
+def full_certification(df: DataFrame, unused: list[str], keys: tuple[str, ...] = KEYS, row: str = "job_id") -> DataFrame:
+    """What does not hold on a row: broken identities of the mapped columns, and cells of audited unused columns that differ from the variable they print: keys, row, finding, residual."""
+    mapped = df.drop(*unused)
+    broken = failures(mapped).select(*keys, row, F.col("rule").alias("finding"), "residual")
+    made = _derivable(mapped.columns)
+    cells = []
+    for c in unused:
+        for r in made.values():
+            _, differs, residual = _realizes(c, r)
+            cells.append(F.when((F.col(f"__{c}") == r.output) & differs, F.struct(F.lit(f"{c} is {r.output}").alias("finding"), residual.alias("residual"))))
+    chosen = audited(df, unused, keys).groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("variable"))).alias(f"__{c}") for c in unused])
+    told = df.join(chosen, list(keys)).select(*keys, row, F.explode(F.array_compact(F.array(*cells))).alias("t")).select(*keys, row, "t.*")
+    return broken.unionByName(told)
+
+
+def with_audited(df: DataFrame, unused: list[str], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """df with a column for each variable that an audited column prints, in place of the unused ones, so that a repair sees these cells too; the first of several columns of one variable counts, and a section without such a column has null."""
+    made = _derivable([c for c in df.columns if c not in unused])
+    chosen = audited(df, unused, keys).groupBy(*keys).agg(*[F.min(F.when(F.col("variable") == v, F.col("column"))).alias(f"__{v}") for v in made])
+    printed = {v: F.coalesce(*[F.when(F.col(f"__{v}") == c, F.col(c)) for c in unused]) for v in made}
+    return df.join(chosen, list(keys), "left").withColumns(printed).drop(*unused, *[f"__{v}" for v in made])
+
+
 def corroborating_columns(cells: DataFrame, derived: DataFrame) -> DataFrame:
     """Unassigned columns that equal one derived variable on all rows but a twentieth, and no other: mcol, variable.  Both sides are long forms, joined on the row."""
     near = F.abs(F.col("value") - F.col("expected")) <= F.greatest(F.lit(2.05), F.abs("expected") * F.lit(2e-5))

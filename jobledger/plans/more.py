@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobledger.operators import alignment, certify, parse, periods, portfolio, review, signals
+from jobledger.operators import alignment, certify, parse, periods, portfolio, repair, review, signals
 from jobledger.plans.catalog import KEYS, _observations, _on_jobs, _wide, query
 from jobledger.sources import tables as t
 
@@ -220,3 +220,21 @@ def audited_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edited_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "($1,000)", False), (2, " 12.5% ", True), (3, "12.5%", False), (4, "", False), (5, "n/a", False), (6, "-3", False), (7, "(-3)", False), (8, None, True), (9, "$", False)]
     return spark.createDataFrame(rows, "k int, raw string, p boolean").select("k", review.edited_value(F.col("raw"), F.col("p")).alias("value"))
+
+
+def _unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules that print G in a column without a name, wrong by 500 on every fiftieth job, and another that means nothing."""
+    j = t.wip_jobs(spark, sf_dir)
+    return j.withColumns({"x1": F.when(F.col("job_id") % 50 == 0, F.col("G") + 500).otherwise(F.col("G")), "x2": F.col("job_id") * 3}).drop("G")
+
+
+@query
+def full_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.full_certification(t.with_errors(_unmapped(spark, sf_dir)), ["x1", "x2"]).select(*KEYS, "job_id", "finding")
+
+
+@query
+def audited_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of cells that only the audit of unused columns makes visible."""
+    wide = review.with_audited(_unmapped(spark, sf_dir), ["x1", "x2"])
+    return repair.repairs(wide.where(certify.breaks(wide.columns)), ["V", "C", "G", "D", "Q", "E", "B"], ["job_id", "period"])

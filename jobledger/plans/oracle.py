@@ -309,3 +309,7 @@ _add("finite_values", "SELECT job_id, period, CASE WHEN job_id % 5 >= 3 THEN V::
 _add("column_shapes", """SELECT portfolio_id, period, 7 AS columns, n AS rows, CASE WHEN lost > 0 THEN 'column 3 has ' || (n - lost) || ' rows, the first has ' || n END AS error
 FROM (SELECT portfolio_id, period, count(*) AS n, count(*) FILTER (portfolio_id % 5 = 0 AND job_id % 3 = 0) AS lost FROM wip GROUP BY portfolio_id, period)""")
 ORACLE["assemble_tables"] = "SELECT l_orderkey AS doc_id, 0 AS table_id, 'Part|Quantity' AS headers, string_agg(l_partkey || '|' || l_quantity, ';' ORDER BY l_linenumber, l_partkey::VARCHAR, l_quantity::VARCHAR) AS rows FROM lineitem GROUP BY l_orderkey"
+_add("full_certification", """SELECT portfolio_id, period, job_id, rule AS finding FROM x WHERE abs(residual) > tolerance AND rule IN ('E=V*D/C', 'Q=C-D')
+UNION ALL SELECT portfolio_id, period, job_id, 'x1 is G' FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (job_id % 50 = 0) OVER w AS wrong FROM wip WINDOW w AS (PARTITION BY portfolio_id, period)) WHERE job_id % 50 = 0 AND n - wrong >= greatest(2, ceil(0.8 * n))""", _TESTS)
+_add("audited_repair", """SELECT job_id, period, 'G' AS "column", (G + 500)::DOUBLE AS observed, G::DOUBLE AS proposed FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (job_id % 50 = 0) OVER w AS wrong FROM wip WINDOW w AS (PARTITION BY portfolio_id, period))
+WHERE job_id % 50 = 0 AND n - wrong >= greatest(2, ceil(0.8 * n))""")

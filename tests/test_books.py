@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from jobledger.operators import accepted, contracts, layout, parse
-from jobledger.plans import books
+from jobledger.operators import accepted, assemble, contracts, layout, parse, review, signals
+from jobledger.plans import books, reports
 from jobledger.sources import files
 
 SMALL = "/root/testdata/sf0.001"
@@ -183,3 +183,51 @@ def test_book_queries_find_what_was_printed(spark, name):
     if name == "emitted_columns":
         wrong = {(r.portfolio_id, r.period) for r in books.t.wip_jobs(spark, SMALL).where("job_id % 97 = 0 and D * 9 > 100 and G <> 0").collect()}
         assert {(r.portfolio_id, r.period) for r in rows if r.status == "failing"} == wrong and {r.variable for r in rows if r.status == "failing"} <= {"D"}
+
+
+def test_printed_schedule_totals_and_dashes(spark):
+    rows = [(1, 1000, -2500, 0.125), (2, None, 500, None), (3, 234, 0, float("inf"))]
+    df = spark.createDataFrame([(7, *r) for r in rows], "s int, job_id int, V long, N long, P double")
+    got = [tuple(r) for r in reports.printed_schedule(df, ["s"], "job_id", F.col("job_id").cast("string")).orderBy("line").collect()]
+    assert got == [(7, 1, "1", "1,000", "12.5%", "(2,500)"), (7, 2, "2", "—", "—", "500"), (7, 3, "3", "234", "—", "0"), (7, 4, "Total", "1,234", "", "(2,000)")]
+    assert reports.printed_schedule(df.where("false"), ["s"], "job_id", F.lit("x")).count() == 0
+
+
+def test_column_shapes_name_the_first_column_that_differs(spark):
+    cells = [(1, c, r) for c in range(3) for r in range(4 if c != 1 else 2)] + [(2, 0, 0), (2, 1, 0)]
+    got = {r.t: (r.columns, r.rows, r.error) for r in parse.column_shapes(spark.createDataFrame(cells, "t int, col int, row int"), ["t"]).collect()}
+    assert got == {1: (3, 4, "column 1 has 2 rows, the first has 4"), 2: (2, 1, None)}
+
+
+def _wip(spark, rows):
+    return spark.createDataFrame(rows, "portfolio_id int, period string, job_id int, V long, C long, D long, E long, B long")
+
+
+def test_signal_variants(spark):
+    ended = (1, "a", 1, 1_000_000, 800_000, 800_000, 1_000_000, 900_000)
+    early = (1, "a", 2, 1_000_000, 800_000, 400_000, 500_000, 400_000)
+    beyond = (1, "a", 3, 1_000_000, 800_000, 880_000, 1_000_000, 900_000)
+    jobs = _wip(spark, [ended, early, beyond])
+    assert {(r.job_id, r.severity, r.dollars) for r in signals.trapped_no_runway(jobs).collect()} == {(1, 1.0, 100_000)}
+    fading = _wip(spark, [(1, "a", 1, 1_000_000, 800_000, 600_000, 650_000, 0), (2, "a", 2, 1_000_000, 800_000, 600_000, 750_000, 0)])
+    assert {r.job_id for r in signals.numeric_fade(fading).collect()} == {1}  # the other book's E is V*D/C
+    short = _wip(spark, [(1, "a", 1, 1_000_000, 800_000, 400_000, 700_000, 690_000), (1, "a", 2, 30_000, 20_000, 8_000, 10_000, 27_000)])
+    assert {r.job_id for r in signals.job_borrow_unbilled(short).collect()} == {1}  # the second is short of 9,000 only
+
+
+def test_audits_of_unused_columns(spark):
+    rows = [(1, "a", k, 1000 * k, 700 * k, 300 * k + k % 3, 300 * k + (400 if k == 9 else 0), None if k == 2 else 7) for k in range(1, 11)]
+    df = spark.createDataFrame(rows, "portfolio_id int, period string, job_id int, V long, C long, D long, x long, y long")
+    assert [(r.column, r.variable, r.rows, r.differ) for r in review.audited(df, ["x", "y"]).collect()] == [("x", "G", 10, 1)]
+    assert [(r.job_id, r.finding, r.residual) for r in review.full_certification(df, ["x", "y"]).collect()] == [(9, "x is G", 400.0)]
+    wide = review.with_audited(df, ["x", "y"])
+    assert {r.job_id: r.G for r in wide.collect()}[9] == 3100 and "x" not in wide.columns
+    same = df.withColumn("z", F.col("C") - F.col("D")).withColumn("D", F.lit(0).cast("long")).withColumn("C", F.lit(0).cast("long"))
+    assert review.audited(same.drop("x", "y"), ["z"]).count() == 0  # fits nothing
+    assert review.audited(df.where("false"), ["x", "y"]).count() == 0
+
+
+def test_pages_of_one_number_follow_by_content(spark):
+    pages = [(1, 1, ["a"], [["2"]]), (1, 1, ["a"], [["1"], [None]]), (1, 0, ["a"], [["0"]]), (2, 0, ["b"], [])]
+    got = {(r.doc_id, r.table_id): (r.headers, r.rows) for r in assemble.assemble(spark.createDataFrame(pages, "doc_id long, chunk_id int, headers array<string>, rows array<array<string>>")).collect()}
+    assert got == {(1, 0): (["a"], [["0"], ["1"], [None], ["2"]]), (2, 0): (["b"], [])}
