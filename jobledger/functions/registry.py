@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 
 from jobledger.functions.scalars import ratio
 
+#: What the variables are called in reports.
+NAMES = {
+    "V": "Contract Value", "C": "Estimated Total Cost", "G": "Estimated Gross Profit", "M": "Estimated Gross Margin %", "D": "Cost to Date", "Q": "Cost to Complete", "P": "Percent Complete",
+    "E": "Earned Revenue", "B": "Billings to Date", "H": "Earned Gross Profit to Date", "N": "Net Billing Position", "U": "Underbillings", "O": "Overbillings",
+    "R": "Remaining Revenue (Backlog)", "RB": "Remaining Billings", "PB": "Percent Billed",
+}
 #: Half a unit of a value printed in whole dollars, with a hair for rounding.
 CELL = 0.51
 
@@ -28,6 +35,12 @@ class Rule:
     def name(self) -> str:
         return f"{self.output}={self.text}"
 
+    @property
+    def business(self) -> str:
+        """The identity with the variables' names."""
+        spaced = self.name.replace("=", " = ").replace("-", " - ").replace("*", " * ").replace("/", " / ")
+        return "".join(NAMES.get(part, part) for part in re.split(r"([A-Z]+)", spaced))
+
     def value(self, of: Callable[[str], Column] = F.col) -> Column:
         return self.formula(*[of(i) for i in self.inputs])
 

@@ -66,6 +66,18 @@ def trajectories(jobs: DataFrame) -> DataFrame:
     return t.select(*_ONE, F.size("p").alias("reports"), F.array_join(F.transform("p", lambda x: x["net"].cast("string")), ",").alias("net"), (F.element_at("p", -1)["net"] - F.col("p")[0]["net"]).alias("change"))
 
 
+def priority_trajectories(jobs: DataFrame, flags: DataFrame, k: int = 5, least: float = 0.15) -> DataFrame:
+    """The k flagged jobs of a portfolio to look at first (a top-k report): by the worst severity among their flags (portfolio_id, job_id, severity), then by how complete they are and how far from even, as last reported.
+
+    Reports of jobs less than `least` or more than fully complete give no point; a job without a point is left out.
+    """
+    points = jobs.select(*_ONE, "period", ratio("D", "C").alias("P"), ratio(F.col("B") - F.col("E"), "V").alias("position")).where((F.col("P") >= least) & (F.col("P") <= 1.000001) & F.col("position").isNotNull())
+    last = points.groupBy(*_ONE).agg(F.max_by(F.struct("P", "position"), "period").alias("x"), F.count(F.lit(1)).alias("points"))
+    worst = flags.groupBy(*_ONE).agg(F.max("severity").alias("score"))
+    w = Window.partitionBy("portfolio_id").orderBy(F.desc("score"), F.desc("x.P"), F.desc(F.abs("x.position")), "job_id")
+    return last.join(worst, list(_ONE)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*_ONE, "rank", "score", "points")
+
+
 def strip(jobs: DataFrame) -> DataFrame:
     """Counts and sums over all linked jobs of a portfolio."""
     c = changes(jobs)

@@ -75,6 +75,7 @@ _on_jobs("first_last_change", lambda j: periods.changes(j).drop("scale", "prior_
 _on_jobs("stalled_jobs", lambda j: periods.changes(j).where("stalled").select("portfolio_id", "job_id", "first", "last"))
 _on_jobs("monotone_check", lambda j: periods.monotony_breaks(t.with_errors(j)))
 _on_jobs("billing_trajectory", periods.trajectories)
+_on_jobs("priority_trajectories", lambda j: periods.priority_trajectories(j, signals.all_jobs(j)))
 _on_jobs("kpi_strip", lambda j: periods.strip(_revised(j)))
 _on_jobs("estimate_anomalies", lambda j: periods.estimate_anomalies(_revised(j)))
 _on_jobs("robust_anomaly", lambda j: periods.robust_anomalies(j.select(*KEYS, "job_id", scalars.ratio("B", "V").alias("x")), KEYS, "x", least_mad=0.002).select(*KEYS, "job_id", "z"))

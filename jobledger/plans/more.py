@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobledger.functions import registry
 from jobledger.operators import alignment, certify, parse, periods, portfolio, repair, review, signals
 from jobledger.plans.catalog import KEYS, _observations, _on_jobs, _wide, query
 from jobledger.sources import tables as t
@@ -238,3 +239,11 @@ def audited_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repairs of cells that only the audit of unused columns makes visible."""
     wide = review.with_audited(_unmapped(spark, sf_dir), ["x1", "x2"])
     return repair.repairs(wide.where(certify.breaks(wide.columns)), ["V", "C", "G", "D", "Q", "E", "B"], ["job_id", "period"])
+
+
+@query
+def failures_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken identities by the variables' names, with how many rows break them."""
+    found = certify.failures(_wide(t.with_errors(t.wip_jobs(spark, sf_dir)))).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+    words = F.create_map(*[x for r in registry.RULES for x in (F.lit(r.name), F.lit(r.business))])
+    return found.select(F.element_at(words, F.col("rule")).alias("identity"), "rows")

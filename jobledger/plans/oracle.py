@@ -313,3 +313,9 @@ _add("full_certification", """SELECT portfolio_id, period, job_id, rule AS findi
 UNION ALL SELECT portfolio_id, period, job_id, 'x1 is G' FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (job_id % 50 = 0) OVER w AS wrong FROM wip WINDOW w AS (PARTITION BY portfolio_id, period)) WHERE job_id % 50 = 0 AND n - wrong >= greatest(2, ceil(0.8 * n))""", _TESTS)
 _add("audited_repair", """SELECT job_id, period, 'G' AS "column", (G + 500)::DOUBLE AS observed, G::DOUBLE AS proposed FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (job_id % 50 = 0) OVER w AS wrong FROM wip WINDOW w AS (PARTITION BY portfolio_id, period))
 WHERE job_id % 50 = 0 AND n - wrong >= greatest(2, ceil(0.8 * n))""")
+_add("priority_trajectories", f"""SELECT portfolio_id, job_id, rank, score, points FROM (
+  SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY score DESC, lp DESC, abs(pos) DESC, job_id) AS rank FROM (
+    SELECT portfolio_id, job_id, arg_max(D::DOUBLE / C, period) AS lp, arg_max((B - E)::DOUBLE / V, period) AS pos, count(*) AS points FROM wip WHERE C <> 0 AND V <> 0 AND D::DOUBLE / C BETWEEN 0.15::DOUBLE AND 1.000001::DOUBLE GROUP BY portfolio_id, job_id)
+  JOIN (SELECT portfolio_id, job_id, max(severity) AS score FROM ({_union}) WHERE severity > 0.12 GROUP BY portfolio_id, job_id) USING (portfolio_id, job_id)) WHERE rank <= 5""", _book_q)
+_add("failures_in_words", """SELECT CASE rule WHEN 'E=V*D/C' THEN 'Earned Revenue = Contract Value * Cost to Date / Estimated Total Cost' WHEN 'Q=C-D' THEN 'Cost to Complete = Estimated Total Cost - Cost to Date'
+  WHEN 'H=G*D/C' THEN 'Earned Gross Profit to Date = Estimated Gross Profit * Cost to Date / Estimated Total Cost' ELSE rule END AS identity, count(*) AS rows FROM x WHERE abs(residual) > tolerance GROUP BY rule""", _TESTS)
