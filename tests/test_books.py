@@ -59,6 +59,31 @@ def test_short_readings_equal_the_general_one(spark):
     assert sorted(map(tuple, parse.decimal_votes(votes, ["k"], "raw").select("k", "us", "eu").collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_totals_by_blocks_equal_a_fold_over_rows(spark):
+    rng = np.random.default_rng(4)
+    rows, expected = [], set()
+    for t in range(6):
+        section, body, totals, ns, nb = np.zeros(3), np.zeros(3), np.zeros(3), 0, 0
+        for k in range(400):
+            choice = rng.random()
+            v = section.copy() if choice < 0.03 * (t % 3) else body + totals if choice > 0.99 else body.copy() if choice > 0.98 else rng.integers(0, 900, 3).astype(float)
+            said = rng.random() < 0.01
+            rows.append((t, k, *map(float, v), "Total" if said else "x"))
+            reason = "label" if said else None
+            for name, n, sums in (("section", ns, section), ("body", nb, body), ("body and totals", nb, body + totals)):
+                told = abs(sums) > 1
+                if reason is None and n >= 2 and told.sum() >= 3 and (abs(v - sums) <= 1 + 0.005 * abs(sums))[told].all():
+                    reason = name
+            if reason is None:
+                section, body, ns, nb = section + v, body + v, ns + 1, nb + 1
+            elif reason != "label":
+                totals, section, ns = totals + v, section * 0, 0
+            if reason:
+                expected.add((t, k, reason))
+    df = spark.createDataFrame(rows, "t int, row int, V double, C double, G double, label string")
+    assert {tuple(r) for r in parse.total_rows(df, ["t"], "row", ["V", "C", "G"], "label").collect()} == expected and len({x[2] for x in expected}) == 4
+
+
 def test_non_finite_numbers_are_null(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-float("inf"),), (2.0,), (None,)], "x double")
     assert [r[0] for r in df.select(parse.finite(F.col("x"))).collect()] == [None, None, None, 2.0, None]
